@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_simhash": simhash.op8_simhash,
 }
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op7_line_dedup": line_dedup.SQL,
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, packing, simhash, token_files
+from . import exact_dedup, language, line_dedup, packing, simhash, token_files
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op5_token_files": token_files.op5_token_files,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_simhash": simhash.op8_simhash,
+    "op9_language": language.op9_language,
     "op10_packing": packing.op10_packing,
 }
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, line_dedup, packing, simhash, token_files
+from . import exact_dedup, language, line_dedup, packing, simhash, token_files, topk
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_topk": topk.op2_topk,
     "op5_token_files": token_files.op5_token_files,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_simhash": simhash.op8_simhash,
@@ -15,5 +16,6 @@ QUERIES = {
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op2_topk": topk.SQL,
     "op7_line_dedup": line_dedup.SQL,
 }

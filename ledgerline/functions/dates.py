@@ -56,7 +56,8 @@ def date_from_name(name: Column, pattern: str, year: int = 1, month: int = 2, da
 
 def days_between(earlier: Column, later: Column) -> Column:
     """Days that lie between two ISO dates: 0 for the same and the next day; null if one isn't a date."""
-    return F.greatest(F.lit(0), F.datediff(F.to_date(iso_date(later)), F.to_date(iso_date(earlier))) - 1)
+    n = F.datediff(F.to_date(iso_date(later)), F.to_date(iso_date(earlier)))
+    return F.when(n > 1, n - 1).when(n.isNotNull(), 0)
 
 
 def month_of(day: Column) -> Column:

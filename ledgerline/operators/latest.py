@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
+
 
 def document_key(source_rel: Column, source_path: Column, document_id: Column) -> Column:
     """Order of documents: received ones after the others, then by the parts of the path, then by id."""
@@ -61,6 +63,18 @@ def rank_in(by: list[str], order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 
 
+def places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Rows with their place, from 1, in one order over all of them. Rows are range-partitioned and sorted, and get the
+    rows of the partitions before theirs added; those counts, one for each partition, are all that is gathered."""
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    rows, _ = materialise(spread.withColumn("_part", part).withColumn("_in", F.col("_at") - F.shiftleft(part, 33)).drop("_at"), "places")
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each partition
+    return rows.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_in") + 1).drop("_part", "_in", "_before")
+
+
 def mode(df: DataFrame, by: list[str], value: str, seen: Column) -> DataFrame:
     """The most frequent value of each group; of equally frequent ones that seen first."""
     n = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("seen"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import cells, continuity, diff, duplicates, evaluate, export, latest, precedence, reconcile, templates, usage
-from ..operators import sampling
+from ..operators import cells, continuity, diff, duplicates, evaluate, export, latest, precedence, reconcile, sampling, templates, usage
 from ..sources.files import table
+from ..sources.scratch import new_path
 from ..streaming import worker
 from .catalog import query
 
@@ -248,7 +248,10 @@ def _scope_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
 
 
-@query(f"WITH {_SCOPE_SQL} x AS (SELECT 1) SELECT o_custkey, count(*) AS rows, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM r GROUP BY 1")
+_QUARTERS = " || '|' || ".join(f"sum(('0x' || substr(h, {1 + 16 * i}, 16))::UBIGINT)::VARCHAR" for i in range(4))
+
+
+@query(f"WITH {_SCOPE_SQL} x AS (SELECT 1) SELECT o_custkey, count(*) AS rows, sha256(count(*) || '|' || {_QUARTERS}) AS fingerprint FROM r GROUP BY 1")
 def fingerprint_scopes(spark: SparkSession, d: str) -> DataFrame:
     return diff.scope_fingerprints(_scope_rows(spark, d), ["o_custkey"], ["o_orderkey", "o_orderstatus", "cents"])
 
@@ -341,10 +344,7 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, event_type, count(*) AS n, sum(CAST(floor(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY 1, 2")
 def stream_events_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts from a stream of the events' file, which must be those of the table."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    place = f"{root.rstrip('/')}/events-stream-{uuid.uuid4().hex}"
+    place = new_path(spark, "events-stream")
     stream = worker.file_stream(spark, d, table(spark, d, "events").schema, glob="events.parquet")
     # each round appends its own partial counts; a round that is repeated overwrites them
     add = lambda batch, n: worker.running_counts(batch, ["user_id", "event_type"]).write.mode("overwrite").parquet(f"{place}/rounds/round={n}")

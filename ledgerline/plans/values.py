@@ -209,10 +209,7 @@ def document_order(spark: SparkSession, d: str) -> DataFrame:
     """Places in the order of documents: those received (even ids here) after the others, then by parts of the path."""
     rel = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("intake/"), F.col("url")))
     key = latest.document_key(rel, F.col("url"), F.lpad(F.col("page_id").cast("string"), 9, "0"))
-    # a total order of all documents is the feature; its sort is distributed, the numbering takes one narrow column
-    from pyspark.sql import Window
-
-    return table(spark, d, "pages").select("page_id", key.alias("k")).select("page_id", F.row_number().over(Window.orderBy("k")).alias("place"))
+    return latest.places(table(spark, d, "pages").select("page_id", key.alias("k")), [F.col("k")]).select("page_id", F.col("place").cast("int").alias("place"))
 
 
 @query("""

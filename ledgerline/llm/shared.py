@@ -2,51 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop_table, materialise, new_path, shared_root  # noqa: F401
+
 #: The ASCII white space that the contracts name, as a regular expression's character class.
 BLANKS = r"\x20\x09-\x0D"
 
-_own_root: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests, one machine), one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_root:
-        _own_root[app] = tempfile.mkdtemp(prefix="ledgerline-")
-    return f"file://{_own_root[app]}"
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a table that materialise() wrote."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        drop_table(spark, path)
-
-
-def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet to the shared folder and read it back: later jobs start from files that outlive
-    executors, not from a long lineage. Returns the table and its path (for drop_table)."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/ledgerline/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop_at_exit, spark, path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns of ``df`` under the given names, and nothing else, so other columns can't clash.
     Names count by case, and one that occurs twice in ``df`` is an error of the caller."""

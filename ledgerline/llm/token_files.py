@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import only, read, shared_root
+from .shared import new_path, only, read
 from .tokens import encoder
 
 #: By selector: ids in a word, bits of each. Selector 0 is an escape.
@@ -209,8 +209,6 @@ def token_file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_root(spark)}/ledgerline/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     write_token_files(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_file_digests(spark, path)

@@ -80,3 +80,27 @@ def check_answers(marks: DataFrame) -> DataFrame:
 
     used = F.max(F.greatest(F.coalesce("yes", F.lit(-1)), F.coalesce("no", F.lit(-1)))).over(Window.partitionBy("page_id"))
     return marks.withColumn("answer", F.when(used < 0, "column_unused").when(F.col("yes") == 1, "yes").when(F.col("no") == 1, "no").otherwise("none"))
+
+
+def slot_agreement(pages: DataFrame, true_pages: DataFrame, slots: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """How often pages get the slot that they would get by true operators and vehicles."""
+    from .reconcile import assign_slots
+
+    got = assign_slots(pages, slots, by, order, order).select(*by, "page_id", F.col("slot").alias("got"))
+    want = assign_slots(true_pages, slots, by, order, order).select(*by, "page_id", F.col("slot").alias("want"))
+    j = true_pages.select(*by, "page_id").join(got, [*by, "page_id"], "left").join(want, [*by, "page_id"], "left")
+    return j.agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("got").eqNullSafe(F.col("want"))).alias("same"), F.count_if(F.col("want").isNotNull()).alias("resolvable"))
+
+
+def changed_pages(pages: DataFrame, by: str, value: str, order: Column) -> DataFrame:
+    """Pages whose value (vehicle) isn't the usual one of their key (operator)."""
+    from .latest import mode
+
+    usual = mode(pages.where(F.col(value).isNotNull()), [by], value, order).select(by, F.col(value).alias("usual"))
+    return pages.join(usual, by).where(~F.col(value).eqNullSafe(F.col("usual")))
+
+
+def checklist_reviews(answers: DataFrame) -> DataFrame:
+    """A checklist answer (yes, no, none) to the reviews of its two mark cells (yes_field, no_field)."""
+    mark = lambda f, on: F.struct(F.col(f).alias("field_id"), F.when(F.col("answer") == on, "value").otherwise("empty").alias("verdict"))
+    return answers.select(F.explode(F.array(mark("yes_field", "yes"), mark("no_field", "no"))).alias("r"), "reviewer", "reviewed_at").select("r.*", "reviewer", "reviewed_at")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.formats import dotted_clock
+
 
 def counts(df: DataFrame, section: str, key: Column) -> DataFrame:
     return df.groupBy(F.coalesce(key.cast("string"), F.lit("unknown")).alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(section).alias("section"), "key", "n")
@@ -102,3 +104,55 @@ def stale_ids(rows: DataFrame, aliases: DataFrame, namespace_id: Column) -> Data
     """Rows whose stored equipment_id isn't the one that the aliases (name, key) give now; nulls are equal."""
     j = rows.join(aliases.withColumnRenamed("name", "equipment"), "equipment", "left")
     return j.where(~F.col("equipment_id").eqNullSafe(namespace_id)).drop("key")
+
+
+def variants(pages: DataFrame, families: DataFrame) -> DataFrame:
+    """For each family (template, family; else the variants' names) pages by the variant chosen, failed ones, near ties."""
+    p = pages.where("variant_errs IS NOT NULL").join(families.withColumnRenamed("template", "template_name"), "template_name", "left")
+    group = F.coalesce("family", F.array_join(F.array_sort(F.map_keys("variant_errs")), " / "))
+    failed = F.col("status") == "align_failed"
+    return p.groupBy(group.alias("family"), F.when(~failed, F.col("template_name")).alias("variant")).agg(F.count_if(~failed).alias("chosen"), F.count_if(failed).alias("align_failed"), F.count_if(~failed & near_tie(F.col("variant_errs"))).alias("near_tie"))
+
+
+def format_cells(fields: DataFrame) -> DataFrame:
+    """Formatted cells that a machine read: accepted values and blanks, waiting ones, dotted times."""
+    auto, has = F.col("status_raw") == "auto", F.coalesce(F.col("has_value_raw"), F.lit(0)) != 0
+    read = fields.where((F.col("format") != "integer") & (F.coalesce("backend", F.lit("")) != "ink"))
+    return read.groupBy("format").agg(F.count(F.lit(1)).alias("read"), F.count_if(auto & has).alias("auto_value"), F.count_if(auto & ~has).alias("auto_empty"), F.count_if(~F.coalesce(auto, F.lit(False))).alias("pending"), F.count_if((F.col("format") == "reading") & dotted_clock(F.col("value_raw")).isNotNull()).alias("dotted"))
+
+
+def intake(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """Counts of what came in and waits; what there is none of isn't there."""
+    c = F.col
+    d = totals(documents, "intake", needs_date=c("status") == "needs_date", waiting=(c("status") == "received") | (c("work_requested") > c("work_done")), discarded_documents=c("status") == "discarded")
+    p = totals(pages, "intake", discarded_pages=c("status") == "discarded", blank=c("status") == "blank", rotated=F.coalesce(c("rotation") != 0, F.lit(False)), duplicates=c("status") == "duplicate")
+    return d.unionByName(p).unionByName(counts(documents, "date_source", F.coalesce("date_source", F.lit("none")))).where("n > 0")
+
+
+def duplicate_similarity(pages: DataFrame) -> DataFrame:
+    held = pages.where("status = 'duplicate' AND duplicate_sim IS NOT NULL")
+    return held.agg(F.count(F.lit(1)).alias("pages"), F.min("duplicate_sim").alias("least"), F.median("duplicate_sim").alias("median"), F.max("duplicate_sim").alias("most"))
+
+
+def list_pages(documents: DataFrame, pages: DataFrame, status: str | None = None, template: str | None = None, margin_below: float | None = None, ties: bool = False, rotated: bool = False) -> DataFrame:
+    p = pages
+    for use, cond in ((status is not None, F.col("status") == status), (template is not None, F.col("template_name") == template), (margin_below is not None, F.col("classify_margin") < (margin_below or 0.0)), (ties, near_tie(F.col("variant_errs"))), (rotated, F.coalesce(F.col("rotation") != 0, F.lit(False)))):
+        p = p.where(cond) if use else p
+    named = p.join(documents.select("document_id", "source_name"), "document_id")
+    return named.withColumn("source", F.concat_ws("#", "source_name", "page_no")).orderBy("work_date", "source_name", "page_no")
+
+
+def meta_mismatches(meta: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """Pages where the machine read something else than people's value; without the values."""
+    m = meta.where("check_result = 'mismatch'").select("page_id", "meta_key", F.col("source").alias("value_source"), "machine_status", "machine_confidence")
+    return m.join(pages.select("page_id", "document_id", "page_no", "work_date", "template_name"), "page_id").join(documents.select("document_id", "source_name"), "document_id")
+
+
+def usage_by_date(checks: DataFrame, results: list[str]) -> DataFrame:
+    """Checks by day, a column for each kind and result given."""
+    named = checks.withColumn("what", F.concat_ws(".", "check_kind", "result"))
+    return named.groupBy(F.coalesce("work_date", F.lit("unknown")).alias("work_date")).pivot("what", results).agg(F.count(F.lit(1))).na.fill(0, results)
+
+
+def recent(documents: DataFrame, n: int = 50) -> DataFrame:
+    return documents.orderBy(F.desc_nulls_last("received_at"), "document_id").limit(n)

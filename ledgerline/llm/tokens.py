@@ -19,10 +19,19 @@ import numpy as np
 
 #: Words that a worker keeps, and the longest that it keeps.
 KEPT_WORDS, KEPT_CHARS = 400_000, 64
-#: Texts whose words are looked up at once hold about so many characters.
-AT_ONCE = 1_000_000
+#: Texts whose words are looked up at once hold about so many characters; new words are encoded so many at once.
+AT_ONCE, JOINED = 1_000_000, 500
 
 _BYTE_LEVEL = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+#: A word of Latin letters that both kinds of pattern leave whole (without the dotted capital I, whose small form has a
+#: combining mark), with ASCII punctuation after it.
+_LATIN = re.compile("( ?)([A-Za-z%s-%s%s-%s%s-%s%s-%s]+)([!-/:-@\\[-`{-~]*)" % tuple(map(chr, (0xC0, 0xD6, 0xD8, 0xF6, 0xF8, 0x12F, 0x131, 0x24F))))
+#: Byte-level names: printable bytes name themselves, the others follow from 256 on, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_NAMES = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+_SPACE_NAME = chr(_BYTE_NAMES[32])
+#: What a text with single spaces and line ends between its words doesn't have.
+_NOT_SINGLE = ("\t", "\x0b", "\x0c", "\r", "  ", " \n", "\n ", "\n\n")
 _WORD_END = re.compile(r"[^ \t-\r]+")
 #: Characters that Python and other engines may not agree on as white space, and the start of special tokens.
 _ODD = [(0, 8), (0x1C, 0x1F), (0x7F, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x3000, 0x3000), (0xFEFF, 0xFEFF)]
@@ -58,31 +67,112 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pattern = _word_pattern(json.loads(Path(path).read_text()))
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str | bytes, bytes] = {}
+        self.ends: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.line_end = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _cut(self, text: str) -> list | None:
+        """A text's words as keys of the cache, or None if it must be encoded as a whole.
+
+        Where only white space separates words, bytes are split, which they are at ASCII white space alone. Else a key
+        is a word that follows a space, or a mark and a word: \\0 for one without a space before it, \\n for one right
+        after a line's end, which the key includes, \\t for a run of white space. In a text whose words are parted by
+        single spaces and line ends, splitting gives the same as the pattern does.
+        """
+        if self.pattern is _WORD_END:
+            return text.encode().split()
+        if "\0" in text:
+            return None
+        if not text:
+            return []
+        if text[0] > " " and text[-1] > " " and not any(x in text for x in _NOT_SINGLE):
+            keys = text.replace("\n", " \n").split(" ")
+            keys[0] = "\0" + keys[0]
+            return keys
+        return [x[1:] if x[0] == " " and not x.isspace() else ("\t" if x.isspace() else "\0") + x for x in self.pattern.findall(text)]
+
+    def _keyed(self, keys: list) -> list[bytes]:
+        """Ids of new keys."""
+        if self.pattern is _WORD_END:
+            return self._new([k.decode() for k in keys])
+        got = self._new([k[1:] if k[0] in "\0\n\t" else " " + k for k in keys])
+        return [self.line_end + x if k[0] == "\n" else x for k, x in zip(keys, got, strict=True)]
+
+    def _simple(self, letters: str, spaced: bool) -> bytes:
+        """Ids of a word of Latin letters by the library's BPE model itself: both kinds of pattern leave such a word whole,
+        and it is in its normal form, so what comes before the model is lower-casing and the naming of bytes."""
+        if self.pattern is _WORD_END:
+            letters, spaced = letters.lower(), False
+        named = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_NAMES)
+        return np.array([t.id for t in self.model.tokenize(_SPACE_NAME + named if spaced else named)], "<u4").tobytes()
+
+    def _marks(self, text: str) -> bytes:
+        """Ids of punctuation that ends a word."""
+        known = self.ends.get(text)
+        if known is None:
+            if len(self.ends) >= 10_000:
+                self.ends.clear()
+            known = self.ends[text] = self._whole(text)
+        return known
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        rest = []
+        for i, w in enumerate(words):
+            m = _LATIN.fullmatch(w)
+            if m is None:
+                rest.append(i)
+            else:
+                out[i] = self._simple(m[2], m[1] == " ") + (self._marks(m[3]) if m[3] else b"")
+        for i, x in zip(rest, self._joined([words[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words, many of them encoded as one text: words that begin with a space follow one another, others have
+        a separator between them. A word's tokens are those that start within it."""
+        out: list[bytes] = [b""] * len(words)
+        spaced = [i for i, w in enumerate(words) if w[0] == " " and not w.isspace()]
+        plain = [i for i, w in enumerate(words) if w[0] != " " and not w.isspace()]
+        blank = [i for i, w in enumerate(words) if w.isspace()]
+        for rows, between in ((spaced, ""), (plain, " " if self.pattern is _WORD_END else "\n")):
+            groups = [rows[a : a + JOINED] for a in range(0, len(rows), JOINED)]
+            got = self.tokenizer.encode_batch([between.join([words[i] for i in g]) for g in groups], add_special_tokens=False)
+            for g, e in zip(groups, got, strict=True):
+                sizes = np.array([len(words[i]) for i in g])
+                first = np.cumsum(sizes + len(between)) - sizes - len(between)
+                starts = np.array([x for x, _ in e.offsets])
+                data = np.array(e.ids, "<u4").tobytes()
+                at = zip(g, np.searchsorted(starts, first).tolist(), np.searchsorted(starts, first + sizes).tolist(), strict=True)
+                for i, a, b in at:
+                    out[i] = data[4 * a : 4 * b]
+        for i in blank:
+            out[i] = self._whole(words[i])
+        return out
+
     def _group(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pattern.findall(t) for t in texts]
-        new = set().union(*cut) - self.words.keys()
-        odd = {w for w in new if _WHOLE.search(w)}
-        new -= odd
-        known = self.words
-        if new:
-            listed = list(new)
-            got = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)]
-            more = dict(zip(listed, got, strict=True))
-            room = KEPT_WORDS - len(known)
-            if len(more) <= room:
-                known.update((w, x) for w, x in more.items() if len(w) <= KEPT_CHARS)
-            elif room > 0:
-                known.update([(w, x) for w, x in more.items() if len(w) <= KEPT_CHARS][:room])
-            get, other = known.get, more.get
-            found = [None if odd and not odd.isdisjoint(ws) else b"".join([get(w) or other(w, b"") for w in ws]) for ws in cut]
-        else:
-            found = [None if odd and not odd.isdisjoint(ws) else b"".join([known[w] for w in ws]) for ws in cut]
-        return [self._whole(t) if x is None else x for t, x in zip(texts, found, strict=True)]
+        cut = [self._cut(t) for t in texts]
+        found = [list(map(self.words.get, ws or ())) for ws in cut]
+        new = {w for ws, xs in zip(cut, found, strict=True) if None in xs for w, x in zip(ws, xs, strict=True) if x is None}
+        odd = {w for w in new if _WHOLE.search(w if isinstance(w, str) else w.decode(), 0 if isinstance(w, bytes) or w[0] != "\0" else 1)}
+        listed = list(new - odd)
+        more = dict(zip(listed, self._keyed(listed), strict=True))
+        room = KEPT_WORDS - len(self.words)
+        if room > 0:
+            self.words.update([(w, x) for w, x in more.items() if len(w) <= KEPT_CHARS][:room])
+        out = []
+        for text, ws, xs in zip(texts, cut, found, strict=True):
+            if ws is None or odd and not odd.isdisjoint(ws):
+                out.append(self._whole(text))
+            elif None not in xs:
+                out.append(b"".join(xs))
+            else:
+                out.append(b"".join([more[w] if x is None else x for w, x in zip(ws, xs, strict=True)]))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A null text counts as empty."""

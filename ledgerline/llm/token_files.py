@@ -50,7 +50,10 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.zeros(0, _U), np.zeros(0, _U)
-    widths = _widths(values) if int(values.max()) >= 1 << 32 else np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    if int(values.max()) < 1 << 24:  # a single-precision number's exponent is the width
+        widths = np.maximum((values.astype(np.float32).view(np.int32) >> 23) - 126, 0).astype(np.uint8)
+    else:
+        widths = _widths(values)
     padded = np.concatenate([widths, np.zeros(120, np.uint8)])
     selector = np.where(widths > 60, ESCAPE, 1).astype(np.uint8)
     span, of_span = padded, 1  # the widest of the next of_span values
@@ -59,14 +62,12 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             span = np.maximum(span[:-of_span], span[of_span:])
             of_span *= 2
         both = np.maximum(span[:n], span[count - of_span : count - of_span + n])
-        fits = both <= bits
-        if not fits.any():
-            continue  # a wider window may still hold smaller values near the end
-        selector[fits & (widths <= 60)] = k
+        np.copyto(selector, k, where=both <= bits)
     counts = np.array([c for c, _ in LAYOUTS])
     step, starts, i = counts[selector].tolist(), [], 0
+    add = starts.append
     while i < n:
-        starts.append(i)
+        add(i)
         i += step[i]
     starts = np.array(starts)
     chosen = selector[starts]

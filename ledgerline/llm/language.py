@@ -131,8 +131,9 @@ def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, most: int
     share = F.lit(0.0)
     for r in counts[:1000]:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
-    chosen = rows.withColumn("rank", _rank("doc_id")).where(F.col("rank") < share).orderBy(F.col("rank") / share, "doc_id", F.xxhash64("text")).limit(most)
-    got = chosen.select("rank", "lang", "text").mapInArrow(_places_of, "rank double, lang string, places binary").orderBy("rank", "lang", "places").collect()
+    chosen = rows.withColumn("rank", _rank("doc_id")).where(F.col("rank") < share).select((F.col("rank") / share).alias("rank"), "lang", "text")
+    # places are at most 4 MB a row, however long a text is
+    got = chosen.mapInArrow(_places_of, "rank double, lang string, places binary").orderBy("rank", "lang", "places").limit(most).collect()
     own = [(np.frombuffer(r.places, np.int32), r.lang) for r in got if len(r.places)]
     return Model.fit([x for x, _ in own], [x for _, x in own], landmarks, ridge) if own else Model([], np.zeros(1 << PLACE_BITS, np.int32), np.zeros((0, 0), np.float32))
 

@@ -10,6 +10,7 @@ from ..sources.scratch import drop_table, materialise, new_path, shared_root  #
 #: The ASCII white space that the contracts name, as a regular expression's character class.
 BLANKS = r"\x20\x09-\x0D"
 
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns of ``df`` under the given names, and nothing else, so other columns can't clash.
     Names count by case, and one that occurs twice in ``df`` is an error of the caller."""

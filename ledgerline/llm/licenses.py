@@ -6,7 +6,7 @@ A file without one inherits that of the licence files in its nearest ancestor di
 directories' paths.
 
 Document frequencies are those of the templates, a word that no template has weighs as the rarest. From a template's
-heaviest words anchors are chosen such that the others alone stay below the threshold; a text, line or sentence that
+heaviest uncommon words anchors are chosen such that the others alone stay below the threshold; a text, line or sentence that
 has no anchor of any template can't match and isn't compared.
 """
 
@@ -53,6 +53,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
 ]
+#: Words that any text has; anchors are chosen among the others where these suffice. Fixed values.
+COMMON = frozenset("a all an and any are as at be but by can for from had have he his in into is it may not of on one or that the these they this to was were will with you".split())
 _IDENTIFIED = "SPDX-License-Identifier: {}"
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _SENTENCE = re.compile(r"(?<=[.;!?])\s+")
@@ -74,7 +76,7 @@ class Matcher:
             unit = {w: x / norm for w, x in raw.items()}
             self.vectors.append(unit)
             rest = 1.0
-            for w in sorted(unit, key=lambda w: (-unit[w], w)):
+            for w in sorted(unit, key=lambda w: (w in COMMON, -unit[w], w)):
                 if rest < threshold * threshold * 0.999:
                     break
                 anchors.add(w)

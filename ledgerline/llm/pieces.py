@@ -86,6 +86,7 @@ class PieceModel:
             raise ValueError("models with pieces that go on past white space are not supported")
         self.unknown = self.types.index(UNKNOWN) if UNKNOWN in self.types else 0
         self.byte = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
+        self.raw = [p.encode() if t == NORMAL else bytes([int(p[3:5], 16)]) if t == BYTE else b"" for p, _, t in pieces]
         self.longest = max(map(len, self.ids), default=1)
         self.outside = min(self.score.values(), default=0.0) - 10.0
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -187,24 +188,18 @@ class PieceModel:
                 group.append(_WORDS.findall(self.marked(texts[at] or "")))
                 size += len(texts[at] or "")
                 at += 1
-            new = set().union(*group) - self.words.keys()
+            found = [list(map(self.words.get, words)) for words in group]
+            new = {w for words, xs in zip(group, found, strict=True) if None in xs for w, x in zip(words, xs, strict=True) if x is None}
             more = {w: np.array([i for p in pieces for i in self._ids(p)], "<u4").tobytes() for w, pieces in self.cut(list(new)).items()}
             room = KEPT_WORDS - len(self.words)
             if room > 0:
                 self.words.update([(w, x) for w, x in more.items() if len(w) <= KEPT_CHARS][:room])
-            get, other = self.words.get, more.get
-            out += [b"".join([get(w) or other(w, b"") for w in words]) for words in group]
+            out += [b"".join(xs) if None not in xs else b"".join([more[w] if x is None else x for w, x in zip(words, xs, strict=True)]) for words, xs in zip(group, found, strict=True)]
         return out
 
     def decode(self, ids: list[int]) -> str:
         """Unknown and control ids give nothing; bytes that aren't UTF-8 give replacement characters."""
-        raw = bytearray()
-        for i in ids:
-            if self.types[i] == BYTE:
-                raw.append(int(self.texts[i][3:5], 16))
-            elif self.types[i] == NORMAL:
-                raw += self.texts[i].encode()
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 

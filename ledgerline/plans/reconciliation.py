@@ -145,6 +145,45 @@ def slot_assignment(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.assign_slots(pages, slots, ["work_date"], ["page_id"], ["slot"])
 
 
+_HAUL_SQL = """
+h AS (SELECT strftime(l_shipdate, '%Y-%m') AS d, l_returnflag = 'R' AS m, 'p' || l_orderkey % 40 AS page, (l_suppkey % 15)::VARCHAR AS slot, CASE WHEN l_returnflag = 'R' THEN l_suppkey % 15 % 12 ELSE l_orderkey % 40 % 12 END::VARCHAR AS op,
+             CASE WHEN l_returnflag = 'R' THEN l_suppkey % 15 % 9 ELSE l_orderkey % 40 % 9 END::VARCHAR AS v, l_linestatus AS material, l_linenumber::VARCHAR AS level, CASE WHEN l_tax <> 0 THEN l_quantity::BIGINT END AS q,
+             lpad(l_orderkey::VARCHAR, 9, '0') || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id FROM lineitem WHERE l_returnflag IN ('A', 'R')),
+p AS (SELECT d, page, op, v, min(id) AS o FROM h WHERE NOT m GROUP BY ALL), s AS (SELECT d, slot, op, v, min(id) AS o FROM h WHERE m GROUP BY ALL),
+m1 AS (SELECT d, page, slot, 'operator' AS how FROM (SELECT *, row_number() OVER (PARTITION BY d, op ORDER BY o) AS i FROM p) a JOIN (SELECT d, slot, op, row_number() OVER (PARTITION BY d, op ORDER BY o) AS i FROM s) b USING (d, op, i)),
+p2 AS (SELECT *, row_number() OVER (PARTITION BY d, v ORDER BY o) AS i FROM p WHERE (d, page) NOT IN (SELECT (d, page) FROM m1)), s2 AS (SELECT *, row_number() OVER (PARTITION BY d, v ORDER BY o) AS i FROM s WHERE (d, slot) NOT IN (SELECT (d, slot) FROM m1)),
+mm AS (FROM m1 UNION ALL SELECT p2.d, page, slot, 'vehicle' FROM p2 JOIN s2 ON p2.d = s2.d AND p2.v = s2.v AND p2.i = s2.i),
+"""
+
+
+@query(f"""
+WITH {_HAUL_SQL}
+l AS (SELECT h.d, coalesce(mm.slot, 'unresolved:' || h.v) AS slot, material, level, CASE WHEN count(*) = count(q) THEN sum(q)::BIGINT END AS q FROM h LEFT JOIN mm ON mm.d = h.d AND mm.page = h.page WHERE NOT m GROUP BY ALL),
+x AS (SELECT d, slot, material, level, CASE WHEN count(*) = count(q) THEN sum(q)::BIGINT END AS q FROM h WHERE m GROUP BY ALL),
+j AS (SELECT coalesce(l.d, x.d) AS d, coalesce(l.slot, x.slot) AS slot, coalesce(l.material, x.material) AS material, coalesce(l.level, x.level) AS level, l.d IS NOT NULL AS a, x.d IS NOT NULL AS b, l.q AS log_trips, x.q AS matrix_trips
+      FROM l FULL OUTER JOIN x ON l.d = x.d AND l.slot = x.slot AND l.material = x.material AND l.level = x.level)
+SELECT d AS work_date, slot, material, level, log_trips, matrix_trips, CASE WHEN NOT a AND (d, slot) NOT IN (SELECT (d, slot) FROM l) THEN 'missing_log' WHEN NOT b THEN 'missing_matrix' WHEN a AND coalesce(log_trips = matrix_trips, true) THEN 'match' ELSE 'mismatch' END AS status FROM j""")
+def haul_crosscheck(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.crosscheck(_haul(spark, d))[0].select("work_date", "slot", "material", "level", "log_trips", "matrix_trips", "status")
+
+
+@query(f"WITH {_HAUL_SQL} z AS (SELECT 1) SELECT mm.d AS work_date, mm.slot, mm.how AS matched_by, p.op AS operator, s.op AS header_operator, (p.op <> s.op OR p.v <> s.v)::INTEGER AS header_mismatch FROM mm JOIN p ON p.d = mm.d AND p.page = mm.page JOIN s ON s.d = mm.d AND s.slot = mm.slot")
+def assignments(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.crosscheck(_haul(spark, d))[1].select("work_date", "slot", "matched_by", "operator", "header_operator", "header_mismatch")
+
+
+def _haul(spark: SparkSession, d: str) -> DataFrame:
+    c, matrix = F.col, F.col("l_returnflag") == "R"
+    page, slot = c("l_orderkey") % 40, c("l_suppkey") % 15
+    who = lambda n: F.when(matrix, slot % n).otherwise(page % n).cast("string")
+    trips = F.when(c("l_tax") != 0, c("l_quantity").cast("long"))
+    return table(spark, d, "lineitem").where(c("l_returnflag").isin("A", "R")).select(
+        F.concat_ws("-", F.lpad(c("l_orderkey").cast("string"), 9, "0"), "l_linenumber", "l_partkey", "l_suppkey").alias("haul_id"), _month("l_shipdate").alias("work_date"), F.when(matrix, "matrix").otherwise("log").alias("source_role"),
+        F.concat(F.lit("p"), page.cast("string")).alias("page_id"), F.when(matrix, slot.cast("string")).alias("slot"), who(9).alias("vehicle_no"), who(12).alias("operator"), c("l_linestatus").alias("material"), c("l_linenumber").cast("string").alias("level"),
+        F.lit(1).alias("has_value"), F.lit(1).alias("has_value_raw"), trips.alias("trips"), trips.alias("trips_raw"),
+    )
+
+
 @query("SELECT * FROM (SELECT user_id, event_type, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)")
 def latest_wins(spark: SparkSession, d: str) -> DataFrame:
     return latest.latest(table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", "value"), ["user_id", "event_type"], ["ts", "event_id"])
@@ -193,10 +232,16 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.exact_copies(table(spark, d, "documents").select("doc_id", "text"), F.col("text"), "doc_id").drop("text")
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+s AS (SELECT DISTINCT label, 0::BIGINT AS i, []::STRUCT(id BIGINT, e DOUBLE[])[] AS kept, NULL::BIGINT AS page, NULL::BIGINT AS dup, NULL::DOUBLE AS sim FROM o
+      UNION ALL
+      SELECT label, i, CASE WHEN -best.n >= 0.3 THEN kept ELSE list_append(kept, {'id': vec_id, 'e': e}) END, vec_id, CASE WHEN -best.n >= 0.3 THEN best.id END, CASE WHEN -best.n >= 0.3 THEN -best.n END
+      FROM (SELECT s.label, o.i, s.kept, o.vec_id, o.e, list_sort([{'n': -list_cosine_similarity(k.e, o.e), 'id': k.id} FOR k IN s.kept])[1] AS best FROM s JOIN o ON o.label = s.label AND o.i = s.i + 1))
+SELECT page::VARCHAR AS page_id, dup::VARCHAR AS duplicate_of, round(sim, 6) AS similarity FROM s WHERE dup IS NOT NULL""")
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "embeddings").select("label", "vec_id", "embedding", F.col("vec_id").cast("string").alias("page_id"))
-    return duplicates.hold_repeats(pages, ["label"], "vec_id", "embedding", threshold=0.5)
+    return duplicates.hold_repeats(pages, ["label"], "vec_id", "embedding", threshold=0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")

@@ -1,5 +1,4 @@
 import corpus_pipeline as p
-import pytest
 from ledgerline.llm.language import train_on_documents
 from ledgerline.llm.simhash import fingerprints
 from test_line_dedup import brute as lines_brute
@@ -27,8 +26,7 @@ def groups(rows):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("words", [5])
-def test_run_is_the_stages_by_brute_force(spark, words):
+def test_run_is_the_stages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     model = train_on_documents(docs)

@@ -221,3 +221,26 @@ def cell_grid(spark: SparkSession, d: str) -> DataFrame:
     regions = region.withColumn("header_rows", F.lit(1)).withColumn("ys", F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: i * 20)).withColumn("xs", F.array(*[F.lit(x) for x in (0, 100, 200, 300)]))
     named = F.inline(F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit(None).cast("string").alias("format")) for i, (n, k) in enumerate([("start", "handwritten_number"), ("end", "handwritten_number"), ("note", "handwritten_text")])]))
     return templates.region_cells(regions, region.select("template", "region", named), rows).drop("format")
+
+
+@query("""
+WITH f AS (SELECT event_id // 3 AS p, event_id % 3 AS k, (event_id // 3) % 4 = 0 AND event_id % 3 < 2 AS clock, floor(value)::INT AS v, event_id % 7 = 0 AS unknown, event_id % 7 <> 0 AND event_id % 5 = 0 AS blank FROM events),
+g AS (SELECT p, max(CASE WHEN k = 0 AND NOT unknown AND NOT blank AND NOT clock THEN v + 0.5 END) AS ms, max(CASE WHEN k = 1 AND NOT unknown AND NOT blank AND NOT clock THEN v + 0.5 END) AS me, max(CASE WHEN k = 2 AND NOT unknown AND NOT blank THEN v + 0.5 END) AS mt,
+             max(CASE WHEN k = 0 AND NOT unknown AND NOT blank AND clock THEN v % 24 END) AS cs, max(CASE WHEN k = 1 AND NOT unknown AND NOT blank AND clock THEN v % 24 END) AS ce,
+             bool_or(unknown AND k = 0) AS us, bool_or(unknown AND k = 1) AS ue, bool_or(unknown AND k = 2) AS ut FROM f GROUP BY p),
+b AS (SELECT *, CASE WHEN us OR ue OR ut THEN 'pending' WHEN ms IS NOT NULL OR me IS NOT NULL THEN 'meter' WHEN cs IS NOT NULL OR ce IS NOT NULL THEN 'clock' WHEN mt IS NOT NULL THEN 'meter' ELSE 'empty' END AS kind,
+             CASE WHEN us OR ue THEN NULL WHEN ms IS NOT NULL AND me IS NOT NULL THEN 'meter' WHEN ut THEN NULL WHEN mt IS NOT NULL THEN 'total' WHEN cs IS NOT NULL AND ce IS NOT NULL THEN 'clock' END AS basis FROM g)
+SELECT p::VARCHAR AS page_id, kind AS reading_kind, basis AS hours_basis, CASE basis WHEN 'meter' THEN me - ms WHEN 'total' THEN mt WHEN 'clock' THEN CASE WHEN ce >= cs THEN ce - cs ELSE ce + 24 - cs END END::DOUBLE AS hours FROM b""")
+def usage_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Hours of a machine's day from start, end and total cells: every third event is one of a page's three."""
+    i, v = F.col("event_id"), F.floor("value").cast("int")
+    page = F.floor(i / 3)
+    slot = F.get(F.array(F.lit("start"), F.lit("end"), F.lit("total")), (i % 3).cast("int"))
+    clock = (page % 4 == 0) & (i % 3 < 2)
+    text = F.when(clock, F.concat(F.lpad((v % 24).cast("string"), 2, "0"), F.lit(":00"))).otherwise(F.concat(v.cast("string"), F.lit(".5")))
+    status, has = F.when(i % 7 == 0, "pending").otherwise("auto"), (i % 5 != 0).cast("int")
+    f = table(spark, d, "events").select(
+        page.cast("string").alias("page_id"), F.lit("meter").alias("role"), F.lit("m").alias("region"), F.lit(0).alias("row_no"), F.lit(0).alias("x0"), F.lit("day").alias("row_key"), slot.alias("field_name"), F.lit("handwritten_number").alias("kind"), F.lit("reading").alias("format"),
+        has.alias("has_value_raw"), has.alias("has_value"), text.alias("value_final"), text.alias("value_raw"), status.alias("review_status"), status.alias("status_raw"), i.cast("string").alias("field_id"), F.lit(False).alias("row_subtotal"),
+    )
+    return usage.usage_rows(f).select("page_id", "reading_kind", "hours_basis", "hours")

@@ -115,14 +115,37 @@ def _expand(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return pair, at // nb[pair], at % nb[pair]
 
 
+def _rows_of(first: np.ndarray, a: np.ndarray, b: np.ndarray, acc: np.ndarray, labels: _Labels) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of rows of pairs of leaves, some ``EXPAND`` at once. Leaf i has the rows from first[i] to first[i + 1]."""
+    na, nb = first[a + 1] - first[a], first[b + 1] - first[b]
+    large = na * nb > EXPAND
+    some = np.flatnonzero(~large)
+    turns = np.cumsum((na * nb)[some]) // EXPAND
+    for part in np.split(some, np.flatnonzero(turns[1:] != turns[:-1]) + 1):
+        pair, x, y = _expand(na[part], nb[part])
+        pair = part[pair]
+        x, y = first[a[pair]] + x, first[b[pair]] + y
+        once = (a[pair] != b[pair]) | (x < y)
+        yield x[once], y[once], acc[pair][once]
+    step = math.isqrt(EXPAND)
+    for i in np.flatnonzero(large):
+        for s in range(first[a[i]], first[a[i] + 1], step):
+            x = np.arange(s, min(s + step, first[a[i] + 1]))
+            for t in range(s if a[i] == b[i] else first[b[i]], first[b[i] + 1], step):
+                y = np.arange(t, min(t + step, first[b[i] + 1]))
+                if (labels.of[x] == labels.of[x[0]]).all() and (labels.of[y] == labels.of[x[0]]).all():
+                    continue
+                yield np.repeat(x, len(y)), np.tile(y, len(x)), np.full(len(x) * len(y), acc[i])
+
+
 def unit_links(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, more: np.ndarray, max_bits: int, lead_bits: int, total_bits: int) -> np.ndarray:
     """Component label (a row number) of each row, for rows that belong to one or several units.
 
     unit, side: a unit joins its rows of side 0 with those of side 1, or if it has only one side, among themselves.
-    bits: the rotated fingerprints, distinct in (unit, side). Two rows are linked if these differ by at most
+    bits: the rotated fingerprints, with ``more`` distinct in (unit, side). Two rows are linked if these differ by at most
     ``max_bits`` bits, by at most ``lead_bits`` in the first 16, and together with ``more`` by at most ``total_bits``.
     """
-    order = np.lexsort((gray_rank(bits), side, unit))
+    order = np.lexsort((*more.T, gray_rank(bits), side, unit))
     unit, side, bits, more = unit[order], side[order], bits[order], more[order]
     labels = _Labels(len(bits))
     starts, patterns = [], []  # by level: each node's first row, and its prefix
@@ -143,11 +166,12 @@ def unit_links(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, more: np.nd
     while stack:
         level, a, b, acc = stack.pop()
         if level == len(LEVELS) - 1:
-            p, q = starts[level][a], starts[level][b]
-            if more.shape[1]:
-                ok = acc + np.bitwise_count(more[p] ^ more[q]).sum(1, dtype=np.int64) <= total_bits
-                p, q = p[ok], q[ok]
-            labels.link(p, q)
+            if not more.shape[1]:
+                labels.link(starts[level][a], starts[level][b])
+                continue
+            for p, q, so_far in _rows_of(np.append(starts[level], len(bits)), a, b, acc, labels):
+                ok = so_far + np.bitwise_count(more[p] ^ more[q]).sum(1, dtype=np.int64) <= total_bits
+                labels.link(p[ok], q[ok])
             continue
         na, nb = kids[level][a + 1] - kids[level][a], kids[level][b + 1] - kids[level][b]
         size = int((na * nb).sum())
@@ -164,7 +188,7 @@ def unit_links(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, more: np.nd
         pair, x, y = _expand(na, nb)
         x, y = kids[level][a[pair]] + x, kids[level][b[pair]] + y
         own = a[pair] == b[pair]
-        if level + 1 == len(LEVELS) - 1:
+        if level + 1 == len(LEVELS) - 1 and not more.shape[1]:
             once = ~own | (x < y)
         else:
             once = ~own | (x <= y)
@@ -235,8 +259,8 @@ def _fingerprint_rows(words: int, extra: int):
 
 
 def near_links(nodes: DataFrame, max_bits: int, extra: list[str], total_bits: int = 0) -> DataFrame:
-    """u, v: links that connect what is connected by fingerprints within ``max_bits``. ``nodes`` has rep, fp (distinct)
-    and the columns ``extra``, whose bits count with those of fp towards ``total_bits``."""
+    """u, v: links that connect what is connected by fingerprints within ``max_bits``. ``nodes`` has rep, fp
+    and the columns ``extra`` (distinct together), whose bits count with those of fp towards ``total_bits``."""
     spark = nodes.sparkSession
     n = max(1, nodes.count())
     lead = max_bits // 4
@@ -251,7 +275,7 @@ def near_links(nodes: DataFrame, max_bits: int, extra: list[str], total_bits: in
     most = max(256, 2 * n >> width)
     sizes = turned.groupBy("turn", "own").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("chunks"))
     sizes, _ = materialise(sizes, "simhash-nodes")
-    chunked = turned.join(F.broadcast(sizes), ["turn", "own"]).withColumn("chunk", F.pmod(F.xxhash64("bits"), F.col("chunks")).cast("int")).drop("chunks")
+    chunked = turned.join(F.broadcast(sizes), ["turn", "own"]).withColumn("chunk", F.pmod(F.xxhash64("bits", *extra), F.col("chunks")).cast("int")).drop("chunks")
     masks = [sum(1 << i for i in c) for k in range(lead + 1) for c in combinations(range(width), k)]
     other = chunked.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks]))).withColumn("other", F.col("mask").bitwiseXOR(F.col("own")))
     other = other.join(F.broadcast(sizes.withColumnRenamed("own", "other")), ["turn", "other"])

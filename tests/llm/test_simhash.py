@@ -4,6 +4,7 @@ import re
 import numpy as np
 import xxhash
 
+from ledgerline.llm import simhash
 from ledgerline.llm.components import components
 from ledgerline.llm.simhash import fingerprints, op8_simhash, simhash_groups, unit_links
 
@@ -102,6 +103,23 @@ def test_unit_links_by_all_pairs():
         assert [sorted(np.flatnonzero(got == g)) for g in got] == [sorted(np.flatnonzero(want == w)) for w in want]
 
 
+def test_equal_fingerprints_with_other_extras(monkeypatch):
+    rng = np.random.default_rng(6)
+    bits = np.repeat(np.array([5, 5 ^ 1 << 40, 2**60 + 7], np.uint64), 40)
+    base = rng.integers(0, 2**63, (4, 3)).astype(np.uint64)
+    more = base[rng.integers(0, 4, len(bits))] ^ (np.uint64(1) << rng.integers(0, 64, (len(bits), 3)).astype(np.uint64))
+    x = np.bitwise_count(bits[:, None] ^ bits[None, :])
+    near = (x <= 11) & (x + np.bitwise_count(more[:, None] ^ more[None, :]).sum(2) <= 39)
+    want = np.arange(len(bits))
+    while not np.array_equal(new := np.where(near, want[None, :], len(bits)).min(1), want):
+        want = new
+    assert len(set(want)) == 4
+    for expand in (1_000_000, 100):
+        monkeypatch.setattr(simhash, "EXPAND", expand)
+        got = unit_links(np.zeros(len(bits), int), np.zeros(len(bits), int), bits, more, 11, 2, 39)
+        assert [sorted(np.flatnonzero(got == g)) for g in got] == [sorted(np.flatnonzero(want == w)) for w in want]
+
+
 def test_components(spark):
     rng = random.Random(5)
     chain = [(i, i + 1) for i in range(100, 160)]

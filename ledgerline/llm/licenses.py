@@ -1,6 +1,6 @@
 """Licence scans of files.
 
-Lines, sentences and paragraphs of a text, and the whole text of a licence file, are compared with templates of licence
+Lines, windows of consecutive lines, sentences and paragraphs of a text, and the whole text of a licence file, are compared with templates of licence
 notices by the cosine of sparse TF-IDF vectors; the best template at or over ``threshold`` is the file's own licence.
 A file without one inherits that of the licence files in its nearest ancestor directory that has any, found by joins on
 directories' paths.
@@ -53,6 +53,10 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
 ]
+_MIT_TEXT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_ISC_TEXT = 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+#: Whole texts of the short licences.
+TEMPLATES += [("MIT", _MIT_TEXT), ("ISC", _ISC_TEXT)]
 #: Words that any text has; anchors are chosen among the others where these suffice. Fixed values.
 COMMON = frozenset("a all an and any are as at be but by can for from had have he his in into is it may not of on one or that the these they this to was were will with you".split())
 _IDENTIFIED = "SPDX-License-Identifier: {}"
@@ -82,6 +86,7 @@ class Matcher:
                 anchors.add(w)
                 rest -= unit[w] ** 2
         self.anchors = frozenset(anchors)
+        self.lengths = sorted({sum(b.values()) for b in bags})
         self.by_word: dict[str, list[tuple[int, float]]] = {}
         for i, v in enumerate(self.vectors):
             for w, x in v.items():
@@ -102,11 +107,33 @@ class Matcher:
     def has_anchor(self, low: str) -> bool:
         return any(a in low for a in self.anchors) and not self.anchors.isdisjoint(_WORD.findall(low))
 
-    @staticmethod
-    def segments(text: str, whole: bool, wanted) -> Iterator[str]:
-        """Paragraphs, their lines, and the lines' sentences, where ``wanted`` says so of the lower-cased text."""
+    def windows(self, text: str, wanted) -> Iterator[str]:
+        """Consecutive lines of about each template's number of words; lines without a word, of comment marks, don't
+        count. A line alone is no window."""
+        lines = [(x, n) for x in text.split("\n") if (n := len(_WORD.findall(x.lower())))]
+        anchored = [i for i, (x, _) in enumerate(lines) if wanted(x.lower())]
+        at = 0
+        for i in range(len(lines) - 1):
+            while at < len(anchored) and anchored[at] < i:
+                at += 1
+            if at == len(anchored):
+                return
+            ends, j, words = set(), i, lines[i][1]
+            for most in self.lengths:
+                while j + 1 < len(lines) and words + lines[j + 1][1] <= most:
+                    j += 1
+                    words += lines[j][1]
+                ends |= {j, min(j + 1, len(lines) - 1)}
+            for j in sorted(ends):
+                if j > i and anchored[at] <= j:
+                    yield " ".join(x for x, _ in lines[i : j + 1])
+
+    def segments(self, text: str, whole: bool, wanted) -> Iterator[str]:
+        """Windows of lines, paragraphs, their lines, and the sentences of both, where ``wanted`` says so of the
+        lower-cased text."""
         if whole:
             yield text
+        yield from self.windows(text, wanted)
         paragraph: list[str] = []
         for line in [*text.split("\n"), ""]:
             if line.strip():
@@ -115,6 +142,7 @@ class Matcher:
             if paragraph and wanted("\n".join(paragraph).lower()):
                 if len(paragraph) > 1:
                     yield " ".join(paragraph)
+                    yield from (p for p in _SENTENCE.split(" ".join(paragraph)) if wanted(p.lower()))
                 for x in paragraph:
                     if wanted(x.lower()):
                         yield x

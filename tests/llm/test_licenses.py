@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import pytest
 
@@ -72,3 +73,35 @@ def test_inheritance_and_odd_rows(spark):
 def test_anchors_lose_nothing(text):
     assert M.best(text, False) == brute(text, False)
     assert all(re.fullmatch(r"[a-z0-9.-]+", a) for a in M.anchors)
+
+
+GPL_HEADER = """# Copyright (C) 2020 A. Author
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <https://www.gnu.org/licenses/>.
+import os
+"""
+
+
+def wrapped(name, width=70):
+    text = max((t for x, t in TEMPLATES if x == name), key=len)
+    return "\n".join(textwrap.wrap(text, width))
+
+
+def test_wrapped_notices_among_other_lines():
+    assert M.best(GPL_HEADER, False)[0] == "GPL-3.0"
+    for name in ("MIT", "ISC"):
+        file = f"{name} License\n\nCopyright (c) 2021 Some Body\n\n{wrapped(name)}\n"
+        assert M.best(file, True)[0] == name and M.best(file, False)[0] == name
+    assert M.best("words of other matters. Licensed under the\nMIT License. Then follows something else\nof no import", False)[0] == "MIT"
+    assert M.best("one line\nand another\n# \nand a third", False) == (None, None)

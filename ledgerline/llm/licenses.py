@@ -1,7 +1,8 @@
 """Licence scans of files.
 
 Lines, windows of consecutive lines, sentences and paragraphs of a text, and the whole text of a licence file, are compared with templates of licence
-notices by the cosine of sparse TF-IDF vectors; the best template at or over ``threshold`` is the file's own licence.
+notices by the cosine of sparse TF-IDF vectors; the best template at or over ``threshold`` is the file's own licence,
+and all licences found are given beside it. Words that tell licences apart (lesser, affero, a GNU version, the BSD clauses) must be there.
 A file without one inherits that of the licence files in its nearest ancestor directory that has any, found by joins on
 directories' paths.
 
@@ -55,8 +56,27 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 _MIT_TEXT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _ISC_TEXT = 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_BSD_TEXT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {} {}"
+_BSD_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_GNU = "This {what} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {name} License as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version."
 #: Whole texts of the short licences.
-TEMPLATES += [("MIT", _MIT_TEXT), ("ISC", _ISC_TEXT)]
+TEMPLATES += [("MIT", _MIT_TEXT), ("ISC", _ISC_TEXT), ("BSD-2-Clause", _BSD_TEXT.format("1.", "2.", "", _BSD_END)), ("BSD-3-Clause", _BSD_TEXT.format("1.", "2.", "3. " + _BSD_THIRD, _BSD_END))]
+#: The notices of the GNU licences beside the GPL.
+TEMPLATES += [
+    ("AGPL-3.0", _GNU.format(what="program", stop=":", comma=",", name="Affero General Public", version="3")),
+    ("LGPL-3.0", _GNU.format(what="program", stop=":", comma=",", name="Lesser General Public", version="3")),
+    ("LGPL-3.0", _GNU.format(what="library", stop=":", comma=",", name="Lesser General Public", version="3")),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", _GNU.format(what="library", stop=";", comma=";", name="Lesser General Public", version="2.1")),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+]
+#: Words that tell licences apart: those that a segment and a template must have alike, and those that a segment must
+#: have where the template does (a GNU licence's version; the first and last part of a whole BSD text, so that the third
+#: clause can't be left out between them).
+ALIKE = frozenset(["lesser", "affero", "endorse"])
+NEEDED = frozenset(["2", "2.1", "3"])
+ENDS = frozenset(["redistributions", "tort"])
 #: Words that any text has; anchors are chosen among the others where these suffice. Fixed values.
 COMMON = frozenset("a all an and any are as at be but by can for from had have he his in into is it may not of on one or that the these they this to was were will with you".split())
 _IDENTIFIED = "SPDX-License-Identifier: {}"
@@ -73,6 +93,10 @@ class Matcher:
         self.rarest = math.log(1 + len(bags)) + 1
         self.idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
         self.names, self.threshold = [x for x, _ in named], threshold
+        self.alike = [ALIKE.intersection(b) for b in bags]
+        self.needed = [(NEEDED.intersection(b) if "gnu" in b else frozenset()) | (ENDS.intersection(b) if ENDS <= b.keys() else frozenset()) for b in bags]
+        # templates of other licences that have all words of this one: where one of them is found, this one isn't meant
+        self.within = [[j for j, c in enumerate(bags) if self.names[i] != self.names[j] and b <= c and b != c] for i, b in enumerate(bags)]
         self.vectors, anchors = [], set()
         for b in bags:
             raw = {w: n * self.idf[w] for w, n in b.items()}
@@ -93,7 +117,8 @@ class Matcher:
                 self.by_word.setdefault(w, []).append((i, x))
 
     def cosine(self, text: str) -> tuple[float, int]:
-        """The best cosine and its template; ties go to the first. One word alone is no notice: two must be shared."""
+        """The best cosine and its template; ties go to the first. One word alone is no notice: two must be shared, and
+        the words that tell the template's licence from others."""
         bag = Counter(_WORD.findall(text.lower()))
         norm = math.sqrt(sum((n * self.idf.get(w, self.rarest)) ** 2 for w, n in bag.items()))
         dots: dict[int, float] = {}
@@ -102,7 +127,8 @@ class Matcher:
             for i, x in self.by_word.get(w, ()):
                 dots[i] = dots.get(i, 0.0) + n * self.idf[w] * x
                 shared[i] += 1
-        return max(((round(d / norm, 6), -i) for i, d in dots.items() if shared[i] > 1), default=(0.0, 0))
+        alike = ALIKE.intersection(bag)
+        return max(((round(d / norm, 6), -i) for i, d in dots.items() if shared[i] > 1 and self.alike[i] == alike and self.needed[i] <= bag.keys()), default=(0.0, 0))
 
     def has_anchor(self, low: str) -> bool:
         return any(a in low for a in self.anchors) and not self.anchors.isdisjoint(_WORD.findall(low))
@@ -151,36 +177,51 @@ class Matcher:
                             yield from (p for p in parts if wanted(p.lower()))
             paragraph = []
 
-    def best(self, text: str | None, whole: bool) -> tuple[str | None, float | None]:
+    def found(self, text: str | None, whole: bool) -> list[tuple[str, float]]:
+        """All licences found, with their best cosines, the best first."""
         if not text or not self.has_anchor(text.lower()):
-            return None, None
-        score, i = max((self.cosine(s) for s in self.segments(text, whole, self.has_anchor)), default=(0.0, 0))
-        return (self.names[-i], score) if score >= self.threshold else (None, None)
+            return []
+        by_template: dict[int, float] = {}
+        for s in self.segments(text, whole, self.has_anchor):
+            score, i = self.cosine(s)
+            if score >= self.threshold:
+                by_template[-i] = max(score, by_template.get(-i, 0.0))
+        names: dict[str, float] = {}
+        for i, score in sorted(by_template.items(), key=lambda x: (-x[1], x[0])):
+            if not any(j in by_template for j in self.within[i]):
+                names.setdefault(self.names[i], score)
+        return list(names.items())
+
+    def best(self, text: str | None, whole: bool) -> tuple[str | None, float | None]:
+        return next(iter(self.found(text, whole)), (None, None))
 
 
 def _scan(templates: list[tuple[str, str]], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, threshold)
         for batch in batches:
-            found = [matcher.best(t, bool(w)) for t, w in zip(batch.column("text").to_pylist(), batch.column("is_file").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("id"), batch.column("path"), batch.column("is_file"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["id", "path", "is_file", "license", "score"])
+            found = [matcher.found(t, bool(w)) for t, w in zip(batch.column("text").to_pylist(), batch.column("is_file").to_pylist(), strict=True)]
+            best = [f[0] if f else (None, None) for f in found]
+            every = pa.array([[x for x, _ in f] for f in found], pa.list_(pa.string()))
+            yield pa.record_batch([batch.column("id"), batch.column("path"), batch.column("is_file"), pa.array([x for x, _ in best], pa.string()), pa.array([s for _, s in best], pa.float64()), every], names=["id", "path", "is_file", "license", "score", "licenses"])
 
     return run
 
 
 def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """id, path, license (SPDX identifier), score, origin ("file", "header" or "inherited"), declared_in (a directory).
+    """id, path, license (SPDX identifier), score, origin ("file", "header" or "inherited"), declared_in (a directory),
+    licenses (all that the row's own text names, the best first; empty if none).
 
-    Directories are separated by "/"; the directory of a path without one is "". Licences of several licence
+    Directories are separated by "/"; the directory of a path without one is "". Licences of the licence
     files in one directory are joined by " OR " in order. Nothing found, in an empty or null text or on the way up, gives
     nulls; a null path is in no directory and inherits nothing. Every row gets its own answer, repeated ones too; an
     empty table gives an empty result. Other columns play no part.
     """
     rows = files.select(files[f"`{id_col}`"].cast("long").alias("id"), files[f"`{path_col}`"].cast("string").alias("path"), files[f"`{text_col}`"].alias("text"))
     rows = rows.withColumn("is_file", F.coalesce(F.col("path").rlike(_LICENCE_FILE), F.lit(False)))
-    own = rows.mapInArrow(_scan(templates, threshold), "id long, path string, is_file boolean, license string, score double")
+    own = rows.mapInArrow(_scan(templates, threshold), "id long, path string, is_file boolean, license string, score double, licenses array<string>")
     own, _ = materialise(own.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "licenses-own")
-    declared = own.where("is_file AND license IS NOT NULL").groupBy("dir").agg(F.array_join(F.array_sort(F.collect_set("license")), " OR ").alias("given"))
+    declared = own.where("is_file").select("dir", F.explode("licenses").alias("license")).groupBy("dir").agg(F.array_join(F.array_sort(F.collect_set("license")), " OR ").alias("given"))
     # ancestors of each directory that has files, itself first
     dirs = own.where("dir IS NOT NULL").select("dir").distinct()
     parts = F.split("dir", "/")
@@ -198,6 +239,7 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str =
         "score",
         F.when(found & F.col("is_file"), "file").when(found, "header").when(F.col("given").isNotNull(), "inherited").alias("origin"),
         F.when(found, F.col("dir")).otherwise(F.col("above")).alias("declared_in"),
+        "licenses",
     )
 
 

@@ -105,3 +105,28 @@ def test_wrapped_notices_among_other_lines():
         assert M.best(file, True)[0] == name and M.best(file, False)[0] == name
     assert M.best("words of other matters. Licensed under the\nMIT License. Then follows something else\nof no import", False)[0] == "MIT"
     assert M.best("one line\nand another\n# \nand a third", False) == (None, None)
+
+
+def gnu(what, name, version, stop=":"):
+    return f"/* This {what} is free software{stop} you can redistribute it and/or\n * modify it under the terms of the GNU {name} General Public\n * License as published by the Free Software Foundation; either\n * version {version} of the License, or (at your option) any later version.\n */\nint x;"
+
+
+def test_notices_get_their_own_licence():
+    assert M.best("This work is licensed under the GNU Lesser General Public License, version 3.", False)[0] == "LGPL-3.0"
+    for what in ("program", "library"):
+        assert M.best(gnu(what, "Lesser", "3"), False)[0] == "LGPL-3.0"
+    assert M.best(gnu("library", "Lesser", "2.1", ";"), False)[0] == "LGPL-2.1"
+    assert M.best(gnu("program", "Affero", "3"), False)[0] == "AGPL-3.0"
+    assert M.best(gnu("program", "", "2", ";"), False)[0] == "GPL-2.0"
+    for name in ("BSD-2-Clause", "BSD-3-Clause"):
+        for width in (60, 79, 5000):
+            assert [x for x, _ in M.found("Copyright (c) 2020, Some Body\nAll rights reserved.\n\n" + wrapped(name, width), True)] == [name]
+
+
+def test_all_licences_are_returned(spark):
+    text = "Released under the MIT License.\nprose between\nLicensed under the Apache License, Version 2.0."
+    assert sorted(x for x, _ in M.found(text, False)) == ["Apache-2.0", "MIT"]
+    df = spark.createDataFrame([(1, "a/LICENSE", text), (2, "a/x.py", "code")], "id long, path string, text string")
+    got = {r.id: r for r in scan_licenses(df, "id", "path").collect()}
+    assert sorted(got[1].licenses) == ["Apache-2.0", "MIT"] and got[2].licenses == []
+    assert (got[2].license, got[2].origin) == ("Apache-2.0 OR MIT", "inherited")

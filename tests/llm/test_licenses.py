@@ -130,3 +130,16 @@ def test_all_licences_are_returned(spark):
     got = {r.id: r for r in scan_licenses(df, "id", "path").collect()}
     assert sorted(got[1].licenses) == ["Apache-2.0", "MIT"] and got[2].licenses == []
     assert (got[2].license, got[2].origin) == ("Apache-2.0 OR MIT", "inherited")
+
+
+def test_inheritance_over_a_whole_table(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", "text", "concat(source, '/', doc_id, '.txt') AS path")
+    given = docs.select("path").distinct().collect()
+    dirs = sorted({r.path.split("/")[0] for r in given})[::2]
+    files = spark.createDataFrame([(-1 - n, "Released under the MIT License.", f"{x}/LICENSE") for n, x in enumerate(dirs)], docs.schema)
+    alone = {r.id: r.license for r in scan_licenses(docs, "doc_id", "path").collect()}
+    for r in scan_licenses(docs.unionByName(files), "doc_id", "path").collect():
+        if r.id >= 0:
+            own, below = alone[r.id], r.path.split("/")[0] in dirs
+            assert (r.license, r.origin) == ((own, "header") if own else ("MIT", "inherited") if below else (None, None))

@@ -59,3 +59,9 @@ def test_stages_keep_the_columns_and_stand_odd_rows(spark):
         empty = spark.createDataFrame(stage(spark, empty, SF).collect(), base.schema)
         assert empty.count() == 0
     assert p.pack(spark, empty, SF).count() == 0
+
+
+def test_texts_stay_where_no_language_is_known(spark):
+    rows = [(1, "words of a text", None, "s", 3), (2, "12 34", None, "s", 5), (3, None, None, "s", None), (4, "été", None, "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in p.keep_identified(spark, docs, SF).collect()) == [1, 4]

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import only, read
@@ -67,7 +67,7 @@ class Model:
         # landmarks take turns among the languages, in the rows' order
         turns: dict[str, int] = {}
         order = sorted(range(len(rows)), key=lambda i: ((turns.__setitem__(langs[i], turns.get(langs[i], 0) + 1), turns[langs[i]])[1], i))
-        marks = order[:landmarks]
+        marks = order[: max(landmarks, len(languages))]  # one of each language at least
         spectrum = np.unique(np.concatenate([rows[i] for i in marks]))
         columns = np.zeros(1 << PLACE_BITS, np.int32)
         columns[spectrum] = np.arange(1, len(spectrum) + 1)
@@ -124,14 +124,18 @@ def _places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, most: int = TRAIN_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Fit on a sample of rows with doc_id, text and lang, of about ``per_language`` rows for each language and at most
-    ``most`` in all; an id is always in or out, whatever the order. Rows without text, letter or lang are left out;
+    ``most`` in all, the first row of each language before others, so that up to ``most`` languages are learned, the most
+    frequent ones; an id is always in or out, whatever the order. Rows without text, letter or lang are left out;
     without any row the model knows no language."""
     rows = only(labelled, doc_id="doc_id", text="text", lang="lang").where("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
-    share = F.lit(0.0)
-    for r in counts[:1000]:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
-    chosen = rows.withColumn("rank", _rank("doc_id")).where(F.col("rank") < share).select((F.col("rank") / share).alias("rank"), "lang", "text")
+    if not counts:
+        return Model([], np.zeros(1 << PLACE_BITS, np.int32), np.zeros((0, 0), np.float32))
+    shares = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "lang string, share double")
+    chosen = rows.withColumn("rank", _rank("doc_id")).join(F.broadcast(shares), "lang").where("rank < share AND text <> ''")
+    # the first row of each language goes before all others
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("rank", F.xxhash64("text"), "text")) == 1
+    chosen = chosen.select((F.col("rank") / F.col("share") - first.cast("int")).alias("rank"), "lang", "text")
     # places are at most 4 MB a row, however long a text is
     got = chosen.mapInArrow(_places_of, "rank double, lang string, places binary").orderBy("rank", "lang", "places").limit(most).collect()
     own = [(np.frombuffer(r.places, np.int32), r.lang) for r in got if len(r.places)]

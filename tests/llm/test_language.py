@@ -63,3 +63,15 @@ def test_folded_weights_equal_the_kernel():
     langs = ["a" if r[0] % 2 else "b" for r in rows]
     model = Model.fit(rows, langs, 16, 0.1)
     assert model.scores(rows).sum(1).round(6).tolist() == [1.0] * 40
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i * 20 + k, f"{'abcdefghij'[i] * 3} word {k}", f"l{i}") for i in range(10) for k in range(20)]
+    rows += [(1000 + i, f"{'klmnopqrst'[i] * 3} rare", f"rare{i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(df, per_language=10, most=25, landmarks=8)
+    assert model.languages == sorted({r[2] for r in rows})
+    many = train(spark.createDataFrame([(i, f"t{i} text", f"m{i:04}") for i in range(1100)], df.schema), most=1100, landmarks=1)
+    assert len(many.languages) == 1100
+    fitted = Model.fit([np.arange(i * 9, i * 9 + 9, dtype=np.int32) for i in range(6)], list("uvwxyz"), 2, 0.01)
+    assert len(np.flatnonzero(fitted.columns)) == 54

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialise, only, read
 from .tokens import encoder
+from .words import with_end
 
 CAPACITY = 2048
 SLICE_ROWS = 131_072
@@ -60,24 +61,27 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a in range(0, len(rows), 1024):
-                out: list[tuple] = []
-                for doc, x in zip(rows[a : a + 1024], encode(texts[a : a + 1024]), strict=True):
-                    x += end
-                    for k, b in enumerate(range(0, len(x), 4 * capacity)):
-                        part = x[b : b + 4 * capacity]
-                        out.append((doc, k, b // 4, len(part) // 4, zlib.crc32(part), part))
-                doc, k, start, length, crc, part = zip(*out, strict=True)
-                cols = [pa.array(doc, pa.int64()), pa.array(k, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
+            rows = batch.column("doc_id")
+            done = 0
+            for found in encoder(path).encode_arrow(batch.column("text")):
+                ids, at = with_end(found, end_id)
+                sizes = np.diff(at)
+                n = -(-sizes // capacity)
+                of = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(sizes[of] - start, capacity)
+                data = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((at[of] + start).tolist(), (at[of] + start + length).tolist(), strict=True)]
+                cols = [rows.take(pa.array(done + of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    ends = np.cumsum([0, *length]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(part), "<i4"))))
+                    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view(np.int32))))
                     names.append("ids")
                 yield pa.record_batch(cols, names=names)
+                done += len(sizes)
 
     return run
 

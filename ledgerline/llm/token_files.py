@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import new_path, only, read
 from .tokens import encoder
+from .words import with_end
 
 #: By selector: ids in a word, bits of each. Selector 0 is an escape.
 LAYOUTS = [(1, 60), (1, 60), (2, 30), (3, 20), (4, 15), (5, 12), (6, 10), (7, 8), (8, 7), (10, 6), (12, 5), (15, 4), (20, 3), (30, 2), (60, 1), (120, 0)]
@@ -131,8 +132,7 @@ def decode_block(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, encode = TaskContext.get().partitionId(), encoder(path).encode
-        end = np.array([end_id], "<u4").tobytes()
+        shard, texts_to_ids = TaskContext.get().partitionId(), encoder(path).encode_arrow
         docs, ids = [], []
         block = before = held = 0
 
@@ -144,12 +144,13 @@ def _encode(path: str, end_id: int):
             return out
 
         for batch in batches:
-            rows, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a in range(0, len(rows), 256):
-                for doc, x in zip(rows[a : a + 256], encode(texts[a : a + 256]), strict=True):
+            rows = iter(batch.column("doc_id").to_pylist())
+            for part in texts_to_ids(batch.column("text")):
+                found, at = with_end(part, end_id)
+                for a, b, doc in zip(at[:-1].tolist(), at[1:].tolist(), rows, strict=False):
                     docs.append(doc)
-                    ids.append(np.frombuffer(x + end, "<u4"))
-                    held += len(ids[-1])
+                    ids.append(found[a:b])
+                    held += b - a
                     if held >= BLOCK_IDS:
                         yield close()
         if docs:

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,8 +10,9 @@ from tokenizers import Tokenizer
 
 from ledgerline.llm import token_files
 from ledgerline.llm.packing import op10_packing, pack_documents, sum_of_squares
-from ledgerline.llm.token_files import decode_block, encode_block, op5_token_files, pack, read_token_files, unpack, write_token_files
+from ledgerline.llm.token_files import decode_block, encode_block, op5_token_files, pack, read_token_files, token_file_digests, unpack, write_token_files
 from ledgerline.llm.tokens import Encoder
+from ledgerline.llm.words import AT_ONCE, IDS, WordTable
 
 FILES = {n: public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
 TEXTS = ["", " ", "\n\n a  b\t\tc \n", "It's we'll 's  x's 123 45,6!?", "café café ́x ÉTÉ İ Σσς", "a b   c\x1cd \x85", "a<|endoftext|> b <|startoftext|>", "你好 世界 \U0001f600\U0001f600", "x" * 5000, "tab\there\r\nline \x0b\x0c end ", "  lead", "trail  ", "\x00\x01 a"]
@@ -91,6 +93,35 @@ def test_token_files_cases(spark, tmp_path, monkeypatch):
     assert token_files.LAYOUTS[15] == (120, 0) and all(c * b <= 60 for c, b in token_files.LAYOUTS)
 
 
+def test_texts_of_more_than_a_slice(spark, tmp_path):
+    rows = [(i, f"w{i} word of it " * 80_000) for i in range(33)]
+    assert sum(len(t) for _, t in rows) > 2 * AT_ONCE
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    write_token_files(df, str(tmp_path / "t"), FILES["byte_bpe_50k.json"])
+    got = {r.doc_id: r for r in token_file_digests(spark, str(tmp_path / "t")).collect()}
+    packed = {}
+    for r in pack_documents(df, FILES["word_bpe_49k.json"]).collect():
+        packed.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+    for i, x in rows[::8]:
+        ids = Tokenizer.from_file(FILES["byte_bpe_50k.json"]).encode(x).ids + [0]
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        ids = Tokenizer.from_file(FILES["word_bpe_49k.json"]).encode(x, add_special_tokens=False).ids + [0]
+        parts = [np.array(ids[a : a + 2048], "<u4") for a in range(0, len(ids), 2048)]
+        assert sorted(packed[i]) == [(k, 2048 * k, len(p), zlib.crc32(p.tobytes())) for k, p in enumerate(parts)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet="abc", max_size=3), max_size=12), max_size=8), st.integers(1, 12))
+def test_word_table_forgets_nothing_it_needs(calls, kept):
+    def ids(word):
+        return [len(word), *word.encode()]
+
+    table = WordTable(lambda words: pa.array([ids(w) for w in words.to_pylist()], IDS), kept)
+    for words in calls:
+        assert table.encode(pa.array(words, pa.string())).to_pylist() == [ids(w) for w in words]
+        assert len(table.words) == len(table.ids) == len(table.calls) <= kept
+
+
 def check_packing(got, rows, capacity):
     t, want = Tokenizer.from_file(FILES["word_bpe_49k.json"]), []
     for i, x in rows:

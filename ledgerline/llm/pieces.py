@@ -18,27 +18,35 @@ A character outside the vocabulary is encoded as the pieces of its UTF-8 bytes i
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 from functools import cache
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import only, read
+from .words import WordTable, flat, in_order, joined, lists, slices
 
 MARK = "▁"
-KEPT_WORDS, KEPT_CHARS, KEPT_PAIRS, AT_ONCE = 400_000, 64, 400_000, 1_000_000
+#: Steps of the automaton that are kept, pieces that are remembered for what they stand before, and the longest of these.
+KEPT_STEPS, KEPT_LEFT, LONGEST_KEPT = 1_000_000, 1_000, 64
 #: Piece types and model types of the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Texts whose words aren't all parted by single spaces, or that have what keys of words mean something by.
+_VARIED = f"\\A(?: |\\z)|  | \\z| \\n|[\\x00{MARK}]"
+_VARIED_OR_LINES = _VARIED + r"|\n"
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -86,13 +94,49 @@ class PieceModel:
             raise ValueError("models with pieces that go on past white space are not supported")
         self.unknown = self.types.index(UNKNOWN) if UNKNOWN in self.types else 0
         self.byte = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
-        self.raw = [p.encode() if t == NORMAL else bytes([int(p[3:5], 16)]) if t == BYTE else b"" for p, _, t in pieces]
-        self.longest = max(map(len, self.ids), default=1)
         self.outside = min(self.score.values(), default=0.0) - 10.0
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
         # pieces that a cut may have: in BPE only those that merging can make
         self.usable = {p for p in self.ids if len(p) > 1 and (kind != BPE or self.merge(p) == [p])}
+        self._build()
+        spelled = [p.encode().replace(MARK.encode(), b" ") if t == NORMAL else bytes([int(p[3:5], 16)]) if t == BYTE else b"" for p, _, t in pieces]
+        self.spelled = pa.array(spelled, pa.binary())
+        # words may be cut at line ends too if no piece reaches across one
+        self.at_lines = dummy_prefix and not any("\n" in p for p in self.usable)
+        self.piece_ids = _PieceIds(self)
+        self.table = WordTable(self._new)
+
+    def _build(self) -> None:
+        """An automaton over the usable pieces. A node stands for a piece's beginning; ``ends`` has the pieces that end
+        where a text has led to a node, the longest first, each with what is known of pieces before it."""
+        self.step: list[dict[str, int]] = [{}]
+        self.fails, self.ends, self.known = [0], [()], 0
+        at: list[str | None] = [None]
+        for piece in sorted(self.usable):
+            node = 0
+            for c in piece:
+                after = self.step[node].get(c)
+                if after is None:
+                    after = self.step[node][c] = len(self.step)
+                    self.step.append({})
+                    self.fails.append(0)
+                    self.ends.append(())
+                    at.append(None)
+                node = after
+            at[node] = piece
+        self.memo: list[dict[str, int]] = [{} for _ in self.step]
+        queue = deque([0])
+        while queue:
+            node = queue.popleft()
+            for c, after in self.step[node].items():
+                fail = self.fails[after] = self._next(self.fails[node], c) if node else 0
+                own = at[after]
+                self.ends[after] = (((len(own), own, {"": True}),) if own else ()) + self.ends[fail]
+                queue.append(after)
+
+    def _next(self, node: int, c: str) -> int:
+        while node and c not in self.step[node]:
+            node = self.fails[node]
+        return self.step[node].get(c, 0)
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -110,65 +154,90 @@ class PieceModel:
             raise ValueError("only BPE and unigram models that leave text and white space as they are, are supported")
         return cls(pieces, kind, dummy)
 
-    def merge(self, text: str) -> list[str]:
-        """BPE by its definition: join the neighbours with the best-scored joint piece, the leftmost first, until none."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.score[j], -i) for i in range(len(parts) - 1) if (j := parts[i] + parts[i + 1]) in self.score), default=None)
-            if best is None:
+    def _merges(self, parts: list[str], cut: int = 0) -> bool:
+        """BPE by its definition, in place: join the neighbours with the best-scored joint piece, the leftmost first, until
+        there are none. With ``cut``, stop and return False when the parts from there on would join those before."""
+        score, none = self.score, float("-inf")
+        pairs = [score.get(a + b, none) for a, b in itertools.pairwise(parts)]
+        while pairs:
+            best = max(pairs)
+            if best == none:
                 break
-            i = -best[1]
+            i = pairs.index(best)
+            if i + 1 == cut:
+                return False
+            if i < cut:
+                cut -= 1
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score.get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = score.get(parts[i] + parts[i + 1], none)
+        return True
+
+    def merge(self, text: str) -> list[str]:
+        parts = list(text)
+        self._merges(parts)
         return parts
 
     def _stands(self, a: str, b: str) -> bool:
-        key = (a, b)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merge(a + b) == [a, b]
-        return known
-
-    def _state(self, word: str, n: int, states: list[tuple[str, float]]) -> tuple[str, float]:
-        """The state of the prefix of length n, given those of all shorter ones."""
-        usable, best = self.usable, None
-        for length in range(min(n, self.longest), 1, -1):
-            piece = word[n - length : n]
-            if piece in usable:
-                before, total = states[n - length]
-                if self.kind == BPE:
-                    if not before or self._stands(before, piece):
-                        return piece, 0.0
-                elif best is None or total + self.score[piece] > best[1]:
-                    best = piece, total + self.score[piece]
-        last = word[n - 1]
-        before, total = states[n - 1]
-        if self.kind == BPE:
-            return last, 0.0
-        total += self.score.get(last, self.outside)
-        return best if best is not None and best[1] >= total else (last, total)
-
-    def cut(self, words: list[str]) -> dict[str, list[str]]:
-        """The pieces of each word, in one walk through the trie of the words."""
-        states: list[tuple[str, float]] = [("", 0.0)]
-        before, out = "", {}
-        for word in sorted(set(words)):
+        """Whether BPE leaves a and b, which it can both make, next to each other: no merge ever crosses their border."""
+        return self._merges([*a, *b], len(a))
+
+    def _walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+        """Words, in sorted order, and their pieces from the last to the first. ``last`` has the state of each prefix, its
+        last piece, ``total`` its score; what a word shares with the one before isn't gone through again."""
+        nodes, last, total, before = [0], [""], [0.0], ""
+        memo, ends, unigram = self.memo, self.ends, self.kind != BPE
+        for word in words:
             shared = 0
             for x, y in zip(before, word, strict=False):
                 if x != y:
                     break
                 shared += 1
-            del states[shared + 1 :]
+            del nodes[shared + 1 :], last[shared + 1 :], total[shared + 1 :]
+            node = nodes[shared]
             for n in range(shared + 1, len(word) + 1):
-                states.append(self._state(word, n, states))
+                c = word[n - 1]
+                after = memo[node].get(c)
+                if after is None:
+                    after = self._next(node, c)
+                    if after and self.known < KEPT_STEPS:
+                        memo[node][c] = after
+                        self.known += 1
+                node = after
+                nodes.append(node)
+                if unigram:
+                    best, score = c, total[n - 1] + self.score.get(c, self.outside)
+                    for length, piece, _ in ends[node]:
+                        if total[n - length] + self.score[piece] > score or len(best) == 1 and total[n - length] + self.score[piece] == score:
+                            best, score = piece, total[n - length] + self.score[piece]
+                    last.append(best)
+                    total.append(score)
+                    continue
+                for length, piece, follows in ends[node]:
+                    left = last[n - length]
+                    stands = follows.get(left)
+                    if stands is None:
+                        stands = self._stands(left, piece)
+                        if len(left) <= LONGEST_KEPT and len(follows) < KEPT_LEFT:
+                            follows[left] = stands
+                    if stands:
+                        last.append(piece)
+                        break
+                else:
+                    last.append(c)
             n, pieces = len(word), []
             while n:
-                pieces.append(states[n][0])
-                n -= len(states[n][0])
-            out[word] = pieces[::-1]
+                pieces.append(last[n])
+                n -= len(last[n])
+            yield word, pieces
             before = word
-        return out
+
+    def cut(self, words: list[str]) -> dict[str, list[str]]:
+        """The pieces of each word, in one walk through the trie of the words."""
+        return {w: pieces[::-1] for w, pieces in self._walk(sorted(set(words)))}
 
     def _ids(self, piece: str) -> list[int]:
         known = self.ids.get(piece)
@@ -179,28 +248,87 @@ class PieceModel:
     def marked(self, text: str) -> str:
         return (MARK if self.dummy_prefix and text else "") + text.replace(" ", MARK)
 
+    def _new(self, keys: pa.Array) -> pa.ListArray:
+        """Ids of new words, by their keys: \\0 and the marked word, or \\n and what follows a line's end, or a word that
+        one mark goes before."""
+        raw = [k[1:] if k[:1] == "\0" else k if k[:1] == "\n" and self.at_lines else MARK + k for k in keys.to_pylist()]
+        words = pa.array(raw, pa.string())
+        order = pc.sort_indices(words).to_numpy()
+        of, counts = self.piece_ids, []
+
+        def ids() -> Iterator[int]:
+            for _, pieces in self._walk(words.take(pa.array(order)).to_pylist()):
+                pieces.reverse()
+                got = [of[p] for p in pieces]
+                if all(map(_one, got)):
+                    counts.append(len(got))
+                    yield from got
+                else:
+                    got = [i for x in got for i in ((x,) if _one(x) else x)]
+                    counts.append(len(got))
+                    yield from got
+
+        found = np.fromiter(ids(), np.uint32)
+        return in_order([(order, lists(np.array(counts, np.int64), found))])
+
+    def _texts(self, texts: pa.Array) -> pa.ListArray:
+        varied = pc.match_substring_regex(texts, _VARIED if self.at_lines else _VARIED_OR_LINES).to_numpy(zero_copy_only=False)
+        if not self.dummy_prefix:
+            varied[:] = True
+        groups = []
+        rows = np.flatnonzero(~varied)
+        if len(rows):
+            some = texts if len(rows) == len(texts) else texts.take(pa.array(rows))
+            words = pc.split_pattern(pc.replace_substring(some, "\n", " \n") if self.at_lines else some, " ")
+            groups.append((rows, joined(self.table.encode(words.values), words.offsets.to_numpy())))
+        rows = np.flatnonzero(varied)
+        if len(rows):
+            cut = [_WORDS.findall(self.marked(t)) for t in texts.take(pa.array(rows)).to_pylist()]
+            words = pa.array(["\0" + w for ws in cut for w in ws], pa.string())
+            groups.append((rows, joined(self.table.encode(words), np.cumsum([0, *map(len, cut)]))))
+        return in_order(groups)
+
+    def encode_arrow(self, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+        """Some texts at a time, null ones as empty, and the ids of each; an empty text has none."""
+        return ((part, self._texts(part)) for part in slices(texts))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers; a null text counts as empty and has none."""
-        out, at = [], 0
-        while at < len(texts):
-            group, size = [], 0
-            while at < len(texts) and (not group or size < AT_ONCE):
-                group.append(_WORDS.findall(self.marked(texts[at] or "")))
-                size += len(texts[at] or "")
-                at += 1
-            found = [list(map(self.words.get, words)) for words in group]
-            new = {w for words, xs in zip(group, found, strict=True) if None in xs for w, x in zip(words, xs, strict=True) if x is None}
-            more = {w: np.array([i for p in pieces for i in self._ids(p)], "<u4").tobytes() for w, pieces in self.cut(list(new)).items()}
-            room = KEPT_WORDS - len(self.words)
-            if room > 0:
-                self.words.update([(w, x) for w, x in more.items() if len(w) <= KEPT_CHARS][:room])
-            out += [b"".join(xs) if None not in xs else b"".join([more[w] if x is None else x for w, x in zip(words, xs, strict=True)]) for words, xs in zip(group, found, strict=True)]
-        return out
+        """Ids as little-endian unsigned 32-bit integers."""
+        return [np.array(x, "<u4").tobytes() for _, part in self.encode_arrow(pa.array(texts, pa.string())) for x in part.to_pylist()]
+
+    def decode_arrow(self, ids: pa.ListArray) -> pa.Array:
+        """Texts of lists of ids. Null lists give the empty text, unknown and control ids nothing; bytes that aren't UTF-8
+        give replacement characters."""
+        ids = pc.fill_null(ids, pa.scalar([], ids.type)) if ids.null_count else ids
+        values, at = flat(ids)
+        joint = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), self.spelled.take(pa.array(values))), b"")
+        try:
+            texts = joint.cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([x.decode("utf-8", "replace") for x in joint.to_pylist()], pa.string())
+        texts = pc.replace_substring(texts, MARK, " ")
+        if not self.dummy_prefix:
+            return texts
+        return pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
 
     def decode(self, ids: list[int]) -> str:
-        """Unknown and control ids give nothing; bytes that aren't UTF-8 give replacement characters."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return self.decode_arrow(pa.array([ids], pa.list_(pa.uint32())))[0].as_py()
+
+
+class _PieceIds(dict):
+    """A piece's id, or the ids that a character outside the vocabulary has instead."""
+
+    def __init__(self, model: PieceModel):
+        super().__init__(model.ids)
+        self.model = model
+
+    def __missing__(self, piece: str) -> int | tuple[int, ...]:
+        got = self.model._ids(piece)
+        return got[0] if len(got) == 1 else tuple(got)
+
+
+def _one(x: int | tuple[int, ...]) -> bool:
+    return x.__class__ is int
 
 
 @cache
@@ -212,11 +340,10 @@ def model(path: str) -> PieceModel:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                found = model(path).encode(part.column("text").to_pylist())
-                ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-                yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))], names=["doc_id", "ids"])
+            done = 0
+            for part, found in model(path).encode_arrow(batch.column("text")):
+                yield pa.record_batch([batch.column("doc_id").slice(done, len(part)), found.cast(pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                done += len(part)
 
     return run
 
@@ -224,7 +351,9 @@ def _encode(path: str):
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column("doc_id"), pa.array([model(path).decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                yield pa.record_batch([part.column("doc_id"), model(path).decode_arrow(part.column("ids"))], names=["doc_id", "text"])
 
     return run
 
@@ -232,16 +361,15 @@ def _decode(path: str):
 def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("text").to_pylist()
-            n, crc, sha, same = [], [], [], []
-            for a in range(0, len(rows), 512):
-                for text, x in zip(rows[a : a + 512], model(path).encode(rows[a : a + 512]), strict=True):
-                    back = model(path).decode(np.frombuffer(x, "<u4").tolist())
-                    n.append(len(x) // 4)
-                    crc.append(zlib.crc32(x))
-                    sha.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-                    same.append(back == (text or ""))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
+            done = 0
+            for part, found in model(path).encode_arrow(batch.column("text")):
+                back = model(path).decode_arrow(found)
+                ids, at = flat(found)
+                data = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in itertools.pairwise(at.tolist())]
+                sha = [hashlib.sha256(x).hexdigest() for x in back.cast(pa.binary()).to_pylist()]
+                yield pa.record_batch([batch.column("doc_id").slice(done, len(part)), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pc.equal(back, part)], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
+                done += len(part)
 
     return run
 

@@ -8,7 +8,7 @@ directories' paths.
 
 Document frequencies are those of the templates, a word that no template has weighs as the rarest. From a template's
 heaviest uncommon words anchors are chosen such that the others alone stay below the threshold; a text, line or sentence that
-has no anchor of any template can't match and isn't compared.
+has no anchor of any template can't match and isn't compared, nor one whose words hold too little of every template.
 """
 
 from __future__ import annotations
@@ -131,7 +131,16 @@ class Matcher:
         return max(((round(d / norm, 6), -i) for i, d in dots.items() if shared[i] > 1 and self.alike[i] == alike and self.needed[i] <= bag.keys()), default=(0.0, 0))
 
     def has_anchor(self, low: str) -> bool:
-        return any(a in low for a in self.anchors) and not self.anchors.isdisjoint(_WORD.findall(low))
+        return not self.anchors.isdisjoint(_WORD.findall(low))
+
+    def may_match(self, low: str) -> bool:
+        """Whether the words of a lower-cased text hold enough of any template's vector: its cosine with a text is at most
+        the length of what is left of it when it loses the words that the text doesn't have."""
+        held: dict[int, float] = {}
+        for w in self.by_word.keys() & _WORD.findall(low):
+            for i, x in self.by_word[w]:
+                held[i] = held.get(i, 0.0) + x * x
+        return max(held.values(), default=0.0) >= self.threshold * self.threshold * 0.999
 
     def windows(self, text: str, wanted) -> Iterator[str]:
         """Consecutive lines of about each template's number of words; lines without a word, of comment marks, don't
@@ -179,10 +188,12 @@ class Matcher:
 
     def found(self, text: str | None, whole: bool) -> list[tuple[str, float]]:
         """All licences found, with their best cosines, the best first."""
-        if not text or not self.has_anchor(text.lower()):
+        if not text or not self.may_match(text.lower()):
             return []
         by_template: dict[int, float] = {}
-        for s in self.segments(text, whole, self.has_anchor):
+        for s in dict.fromkeys(self.segments(text, whole, self.has_anchor)):
+            if not self.may_match(s.lower()):
+                continue
             score, i = self.cosine(s)
             if score >= self.threshold:
                 by_template[-i] = max(score, by_template.get(-i, 0.0))
@@ -243,7 +254,18 @@ def scan_licenses(files: DataFrame, id_col: str, path_col: str, text_col: str =
     )
 
 
+#: Documents of up to so many characters are laid out as licence files by op4_licenses().
+SHORT_CHARS = 200
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of their source's directory."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
-    return scan_licenses(docs, "doc_id", "path").withColumnRenamed("id", "doc_id")
+    """Documents as files of a tree. The table has no paths, so they are laid out by a rule: a document is the file
+    ``<source>/<doc_id div 50>/<doc_id>.txt``, but one of at most SHORT_CHARS characters is ``<source>/LICENSE.<doc_id>``,
+    a licence file, if it names a licence, from which the files below inherit. ``license`` is what a document's own text
+    names, ``inherited_license`` what one without gets from its directories."""
+    source, name = F.coalesce("source", F.lit("unknown")), F.col("doc_id").cast("string")
+    inside = F.concat(F.floor(F.col("doc_id") / 50).cast("string"), F.lit("/"), name, F.lit(".txt"))
+    path = F.concat(source, F.lit("/"), F.when(F.char_length("text") <= SHORT_CHARS, F.concat(F.lit("LICENSE."), name)).otherwise(inside))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
+    out, inherited = scan_licenses(docs, "doc_id", "path").withColumnRenamed("id", "doc_id"), F.col("origin") == "inherited"
+    return out.withColumn("inherited_license", F.when(inherited, F.col("license"))).withColumn("license", F.when(~inherited, F.col("license")))

@@ -1,6 +1,8 @@
+import math
 import re
 import textwrap
 
+import numpy as np
 import pytest
 
 from ledgerline.llm.licenses import TEMPLATES, THRESHOLD, Matcher, op4_licenses, scan_licenses
@@ -143,3 +145,43 @@ def test_inheritance_over_a_whole_table(spark):
         if r.id >= 0:
             own, below = alone[r.id], r.path.split("/")[0] in dirs
             assert (r.license, r.origin) == ((own, "header") if own else ("MIT", "inherited") if below else (None, None))
+
+
+def plain_cosine(text, template, bags):
+    """TF-IDF by its formula, over dense vectors of all words of both."""
+    words = [re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", x.lower()) for x in (text, template)]
+    both = sorted({*words[0], *words[1]})
+    n = len(bags)
+    idf = np.array([math.log((1 + n) / (1 + sum(w in b for b in bags))) + 1 for w in both])
+    a, b = (np.array([ws.count(w) for w in both]) * idf for ws in words)
+    return float(a @ b / math.sqrt((a @ a) * (b @ b))) if len(both) else 0.0
+
+
+def test_cosine_is_that_of_dense_vectors():
+    names = dict.fromkeys(n for n, _ in TEMPLATES)
+    texts = [t for _, t in TEMPLATES] + [f"SPDX-License-Identifier: {n}" for n in names]
+    bags = [set(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower())) for t in texts]
+    for s in [*texts[::3], "Some prose, then: Licensed under the MIT License", "released to the public domain", "this work is free of any license 2.0 or version 3 2.0"]:
+        score, i = M.cosine(s)
+        assert score == pytest.approx(plain_cosine(s, texts[-i], bags), abs=2e-6) if score else True
+        own = {w for w in re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", s.lower())}
+        may = [j for j, b in enumerate(bags) if len(b & own) > 1 and M.needed[j] <= own and M.alike[j] == {"lesser", "affero", "endorse"} & own]
+        assert score == pytest.approx(max((plain_cosine(s, texts[j], bags) for j in may), default=0.0), abs=2e-6)
+        assert M.may_match(s.lower()) or score < THRESHOLD
+
+
+def test_query_has_files_headers_and_heirs(spark):
+    d = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op4_licenses(spark, d).collect()}
+    given = {}
+    for i, r in docs.items():
+        if r.text is not None and len(r.text) <= 200:
+            given.setdefault(r.source, set()).update(got[i].licenses)
+    seen = set()
+    for i, r in docs.items():
+        file, above = r.text is not None and len(r.text) <= 200, " OR ".join(sorted(given.get(r.source, ())))
+        want = ("file" if file else "header") if got[i].license else "inherited" if above else None
+        assert (got[i].origin, got[i].inherited_license) == (want, above if want == "inherited" else None)
+        seen.add(want)
+    assert seen == {"file", "header", "inherited", None}

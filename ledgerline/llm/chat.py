@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialise, only, read
 
-#: Around a turn, with its role and text. "<|" in a text is written as "< |", so no text can end its turn.
+#: Around a turn, with its role and text. "<|" in a role or text is written as "< |", and a line end in a role as a space,
+#: so neither can end its turn or begin another.
 TEMPLATE = ("<|im_start|>", "\n", "<|im_end|>\n")
 
 
@@ -51,7 +52,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """conv_id, n_turns, copies (equal conversations, itself included), rendered: the maximal conversations.
 
     Turns are in the order of turn, nulls last, and within a turn's number in that of their digest. Rows that repeat in
-    all four columns count once. A null role or text counts as empty. Rows without conv_id belong to no conversation and
+    all four columns count once. A null role or text counts as empty. Marks of the template in either are broken up. Rows without conv_id belong to no conversation and
     go. An empty table gives an empty result. Other columns play no part. A conversation is rendered as one value, so
     its texts must fit in one.
     """
@@ -65,8 +66,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     whole = prefixes.where("whole").groupBy("hash").agg(F.min("conv_id").alias("conv_id"), F.first("n_turns").alias("n_turns"), F.count(F.lit(1)).alias("copies"))
     proper = prefixes.where("NOT whole").select("hash").distinct()
     kept = whole.join(proper, "hash", "left_anti").select("conv_id", "n_turns", "copies")
-    safe = F.replace(F.col("text"), F.lit("<|"), F.lit("< |"))
-    turn = F.struct(F.col("turn").isNull().alias("last"), "turn", digest, F.concat(F.lit(template[0]), "role", F.lit(template[1]), safe, F.lit(template[2])).alias("shown"))
+    safe = lambda c: F.replace(F.col(c), F.lit("<|"), F.lit("< |"))
+    named = F.replace(safe("role"), F.lit("\n"), F.lit(" "))
+    turn = F.struct(F.col("turn").isNull().alias("last"), "turn", digest, F.concat(F.lit(template[0]), named, F.lit(template[1]), safe("text"), F.lit(template[2])).alias("shown"))
     shown = rows.join(kept, "conv_id").groupBy("conv_id", "n_turns", "copies").agg(F.array_sort(F.collect_set(turn)).alias("turns"))
     return shown.select("conv_id", "n_turns", "copies", F.array_join(F.col("turns.shown"), "").alias("rendered"))
 
@@ -79,7 +81,7 @@ SQL = """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 d AS (SELECT *, sha256(length(role) || ':' || role || text) AS digest FROM t),
 c AS (SELECT conv_id, count(*) AS n_turns, list(digest ORDER BY turn NULLS LAST, digest) AS turns,
-             string_agg('<|im_start|>' || role || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS LAST, digest) AS rendered
+             string_agg('<|im_start|>' || replace(replace(role, '<|', '< |'), chr(10), ' ') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS LAST, digest) AS rendered
       FROM d GROUP BY conv_id),
 p AS (SELECT DISTINCT list_slice(turns, 1, n) AS turns FROM (SELECT turns, unnest(generate_series(1, len(turns) - 1)) AS n FROM c)),
 w AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY turns)

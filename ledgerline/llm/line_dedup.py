@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from .shared import materialise, read
 
 MIN_CHARS = 10
-#: Lines that a shard of the index should hold, and the most shards there are; beyond that shards grow instead.
-SHARD_LINES, MOST_SHARDS = 4096, 65_536
+#: Lines that a shard of the index should hold; the number of shards follows that of lines.
+SHARD_LINES = 4096
 _STRIP = " \t\n\x0b\x0c\r"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _U = np.uint64
@@ -171,13 +171,13 @@ def _extract(min_chars: int):
 
 
 def _shard(hi: str, shards: int):
-    return F.pmod(F.xxhash64(hi), F.lit(shards)).cast("int")
+    return F.pmod(F.xxhash64(hi), F.lit(shards).cast("long"))
 
 
 def _build(key: tuple, lines: pa.Table) -> pa.Table:
     u = [lines.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo")]
     index = LineIndex.build(*u, lines.column("holders").to_numpy(), lines.column("first").to_numpy())
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "probes": pa.array([int(lines.column("holders").to_numpy().sum())], pa.int64()), "index": pa.array([index.to_bytes()], pa.binary())})
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "probes": pa.array([int(lines.column("holders").to_numpy().sum())], pa.int64()), "index": pa.array([index.to_bytes()], pa.binary())})
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,19 +185,18 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index: LineIndex | None = None
     at = None
     for batch in batches:
-        shard = batch.column("shard").to_numpy().astype(np.int64)
-        place = shard << 32 | batch.column("piece").to_numpy().astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else []
+        shard, piece = batch.column("shard").to_numpy(), batch.column("piece").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (piece[1:] != piece[:-1])])) if len(shard) else []
         kind, hi, lo, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "hi", "lo", "doc_id"))
         packed = batch.column("index")
-        for a, b in zip(starts, [*starts[1:], len(place)], strict=True):
-            if place[a] != at:
-                at, index = place[a], None
+        for a, b in zip(starts, [*starts[1:], len(shard)], strict=True):
+            if (shard[a], piece[a]) != at:
+                at, index = (shard[a], piece[a]), None
             if kind[a] == 0:
                 index, a = LineIndex.from_bytes(packed[int(a)].as_py()), a + 1
             if b > a:
                 if index is None:
-                    raise ValueError(f"probes came before the index of shard {at >> 32}")
+                    raise ValueError(f"probes came before the index of shard {at[0]}")
                 h, x, d = hi[a:b].view(np.uint64), lo[a:b].view(np.uint64), doc[a:b]
                 lost = index.loses(h, x, d)
                 if lost.any():
@@ -213,18 +212,18 @@ def lost_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shard_lines: int = S
     holders = F.when(F.col("first") == F.col("last"), 1).otherwise(F.greatest("rows", F.lit(2)))
     lines, _ = materialise(lines.select("hi", "lo", "first", "rows", holders.alias("holders")), "line-counts")
     total = lines.agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")).first()
-    shards = min(MOST_SHARDS, max(1, -(-total.n // shard_lines)))
-    index = lines.withColumn("shard", _shard("hi", shards)).groupBy("shard").applyInArrow(_build, "shard int, probes long, index binary")
+    shards = max(1, -(-total.n // shard_lines))
+    index = lines.withColumn("shard", _shard("hi", shards)).groupBy("shard").applyInArrow(_build, "shard long, probes long, index binary")
     index, _ = materialise(index, "line-index")
     # a piece is at most a quarter of a partition's even share of the probes, or 1024 rows
     share = max(1024, (total.rows or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     index = index.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("probes") / F.lit(share))).cast("int"))
     none = F.lit(None)
     copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("doc_id"), "index")
-    # at most MOST_SHARDS rows of two integers
-    pieces = F.broadcast(index.select("shard", "pieces"))
-    probes = held.withColumn("shard", _shard("hi", shards)).join(pieces, "shard")
-    probes = probes.select("shard", F.pmod(F.xxhash64("doc_id", "hi"), F.col("pieces")).cast("int").alias("piece"), F.lit(1).alias("kind"), "hi", "lo", "doc_id", none.cast("binary").alias("index"))
+    # a shard of several pieces has over a share of the probes: at most four for each partition, of two integers
+    pieces = F.broadcast(index.where("pieces > 1").select("shard", "pieces"))
+    probes = held.withColumn("shard", _shard("hi", shards)).join(pieces, "shard", "left")
+    probes = probes.select("shard", F.coalesce(F.pmod(F.xxhash64("doc_id", "hi"), F.col("pieces")).cast("int"), F.lit(0)).alias("piece"), F.lit(1).alias("kind"), "hi", "lo", "doc_id", none.cast("binary").alias("index"))
     placed = copies.unionByName(probes).repartition("shard", "piece").sortWithinPartitions("shard", "piece", "kind")
     return placed.mapInArrow(_probe, "doc_id long, hi long, lo long")
 

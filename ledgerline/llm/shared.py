@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import drop_table, materialise, new_path, shared_root  # noqa: F401
+from ..sources.scratch import drop_table, materialise, new_path, passing, shared_root  # noqa: F401
 
 #: The ASCII white space that the contracts name, as a regular expression's character class.
 BLANKS = r"\x20\x09-\x0D"

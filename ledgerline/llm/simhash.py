@@ -4,12 +4,17 @@ A text's fingerprint has 64 bits: a bit is 1 if set in over half the hashes of i
 fingerprint collapse to one node, named by its smallest doc_id. Nodes within ``max_bits`` differing bits are linked,
 and connected components are the groups.
 
-Search for links. The 64 bits are four blocks of 16; two fingerprints within k bits differ by at most k // 4 in one of
-the blocks. So there are four indexes, each of the fingerprints rotated so that its block leads:
+Search for links, by upper nodes that only fingerprints with a shared masked pattern have in common:
+
+* For few bits k, the 64 bits are cut into m > k blocks; two fingerprints within k bits agree in at least m - k of them.
+  Each choice of m - k blocks is a mask, and the fingerprints that agree under it are a node. m grows with the
+  table, so that a node keeps to a few fingerprints: 16 bits a node for m = 4 and k = 3, 32 bits for m = 6.
+* For more bits the blocks are four, and two fingerprints differ by at most k // 4 bits in one of them: the leading bits
+  of each block in turn are the nodes, and pairs of nodes are joined whose patterns differ by k // 4 bits or fewer.
+
+A node, or a pair of nodes, is a unit of work. Large nodes are cut into chunks of a fixed size, and units are pairs of
+chunks.
 
-* The leading bits of the block are the index's upper nodes, of which a pair is joined if the masked patterns differ by
-  k // 4 bits or fewer; for k = 3 that is each node with itself. A pair of nodes is a unit of work. Large nodes
-  are cut into chunks, and units are pairs of chunks.
 * In a unit, fingerprints are sorted by Gray rank; a prefix pattern that several share becomes one node of the next
   level. Pairs of nodes descend together, adding up the differences of their patterns; a pair whose sum exceeds what is
   allowed goes with all its members, as does a pair whose members are linked already.
@@ -20,6 +25,7 @@ written grows with the nodes and not with the pairs.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -41,6 +47,8 @@ _DERIVE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
 LEVELS = [0, 4, 8, 12, 16, 20, 24, 28, 32, 40, 48, 64]
 #: Node pairs that are expanded at once in a unit.
 EXPAND = 1_000_000
+#: About how many fingerprints an upper node may hold before blocks are made smaller, and how many a chunk holds.
+NODE_ROWS, CHUNK_ROWS = 64, 4096
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -261,31 +269,47 @@ def _fingerprint_rows(words: int, extra: int):
 def near_links(nodes: DataFrame, max_bits: int, extra: list[str], total_bits: int = 0) -> DataFrame:
     """u, v: links that connect what is connected by fingerprints within ``max_bits``. ``nodes`` has rep, fp
     and the columns ``extra`` (distinct together), whose bits count with those of fp towards ``total_bits``."""
-    spark = nodes.sparkSession
     n = max(1, nodes.count())
     lead = max_bits // 4
-    # the upper nodes' bits: few fingerprints a node where nodes are joined only with themselves, else fewer nodes
-    width = max(2, min(14, math.ceil(math.log2(n / 128 + 1)))) if not lead else max(6, min(12, math.ceil(math.log2(n / 16_384 + 1))))
-    bits = F.when(F.col("turn") == 0, F.col("fp"))
-    for i in (1, 2, 3):
-        bits = bits.when(F.col("turn") == i, F.shiftleft("fp", 16 * i).bitwiseOR(F.shiftrightunsigned("fp", 64 - 16 * i)))
-    turned = nodes.withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(4)]))).withColumn("bits", bits.otherwise(F.col("fp")))
-    turned = turned.withColumn("own", F.shiftrightunsigned("bits", 64 - width).cast("int")).drop("fp")
-    # at most 4 * 2**14 rows; a chunk holds up to twice an even share
-    most = max(256, 2 * n >> width)
-    sizes = turned.groupBy("turn", "own").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("chunks"))
+    if not lead:
+        blocks = next((m for m in range(max_bits + 1, max_bits + 4) if 64 * (m - max_bits) // m >= math.log2(n / NODE_ROWS)), max_bits + 4)
+        turned = _masked(nodes, max_bits, blocks)
+        masks = [0]
+    else:
+        # few upper nodes, as a node is joined with all that differ in lead bits; a block's bits at most
+        width = max(6, min(16, math.ceil(math.log2(n / 16_384 + 1))))
+        bits = F.when(F.col("turn") == 0, F.col("fp"))
+        for i in (1, 2, 3):
+            bits = bits.when(F.col("turn") == i, F.shiftleft("fp", 16 * i).bitwiseOR(F.shiftrightunsigned("fp", 64 - 16 * i)))
+        turned = nodes.withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(4)]))).withColumn("bits", bits.otherwise(F.col("fp")))
+        turned = turned.withColumn("own", F.shiftrightunsigned("bits", 64 - width)).drop("fp")
+        masks = [sum(1 << i for i in c) for k in range(lead + 1) for c in combinations(range(width), k)]
+    # only nodes of several chunks are listed; a node that isn't has one, or no rows
+    sizes = turned.groupBy("turn", "own").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_ROWS)).cast("int").alias("chunks")).where("chunks > 1")
     sizes, _ = materialise(sizes, "simhash-nodes")
-    chunked = turned.join(F.broadcast(sizes), ["turn", "own"]).withColumn("chunk", F.pmod(F.xxhash64("bits", *extra), F.col("chunks")).cast("int")).drop("chunks")
-    masks = [sum(1 << i for i in c) for k in range(lead + 1) for c in combinations(range(width), k)]
-    other = chunked.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks]))).withColumn("other", F.col("mask").bitwiseXOR(F.col("own")))
-    other = other.join(F.broadcast(sizes.withColumnRenamed("own", "other")), ["turn", "other"])
-    other = other.withColumn("other_chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    chunk = F.coalesce(F.pmod(F.xxhash64("bits", *extra), F.col("chunks")).cast("int"), F.lit(0))
+    chunked = turned.join(sizes, ["turn", "own"], "left").withColumn("chunk", chunk).drop("chunks")
+    other = chunked.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).withColumn("other", F.col("mask").bitwiseXOR(F.col("own")))
+    other = other.join(sizes.withColumnRenamed("own", "other"), ["turn", "other"], "left")
+    other = other.withColumn("other_chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
     mine, its = F.struct(F.col("own").alias("n"), F.col("chunk").alias("x")), F.struct(F.col("other").alias("n"), F.col("other_chunk").alias("x"))
     other = other.withColumn("mine", mine).withColumn("its", its)
     low, high = F.least("mine", "its"), F.greatest("mine", "its")
     units = other.select("turn", low["n"].alias("a"), low["x"].alias("ax"), high["n"].alias("b"), high["x"].alias("bx"), (F.col("mine") > F.col("its")).cast("int").alias("side"), "bits", "rep", *extra)
     placed = units.repartition(*_UNIT).sortWithinPartitions(*_UNIT)
-    return placed.mapInArrow(_link_units(extra, max_bits, lead, total_bits), "u long, v long")
+    # in a node all agree where the mask is, wherever that is, so no bits lead
+    return placed.mapInArrow(_link_units(extra, max_bits, lead or max_bits, total_bits), "u long, v long")
+
+
+def _masked(nodes: DataFrame, max_bits: int, blocks: int) -> DataFrame:
+    """turn, own, bits: the nodes that each fingerprint is in, one for each choice of all but ``max_bits`` blocks."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    of_block = [((1 << (b - a)) - 1) << (64 - b) for a, b in itertools.pairwise(edges)]
+    masks = [sum(of_block[i] for i in c) for c in combinations(range(blocks), blocks - max_bits)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*[F.struct(F.lit(i).alias("turn"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("own")) for i, m in enumerate(signed)])
+    rest = [c for c in nodes.columns if c != "fp"]
+    return nodes.select(F.col("fp").alias("bits"), *rest, F.explode(keys).alias("node")).select("node.turn", "node.own", "bits", *rest)
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3, extra: int = 0, total_bits: int = 0) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from ledgerline.llm import simhash
@@ -138,3 +139,12 @@ def test_components(spark):
         root[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
+
+
+@pytest.mark.parametrize("node_rows, chunk_rows", [(2**-20, 4096), (2**-12, 3), (64, 2)])
+def test_smaller_blocks_and_chunks_lose_nothing(spark, monkeypatch, node_rows, chunk_rows):
+    monkeypatch.setattr(simhash, "NODE_ROWS", node_rows)
+    monkeypatch.setattr(simhash, "CHUNK_ROWS", chunk_rows)
+    rng = random.Random(11)
+    rows = list(enumerate([t for _ in range(4) for t in near_copies(rng, 30, 60, 4)] + [None, "one"]))
+    assert run(spark, rows) == brute(rows)

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from ledgerline.llm.language import Model, has_letter, held_out, identify, is_held_out, op9_language, places, train
@@ -75,3 +77,65 @@ def test_rare_languages_are_learned(spark):
     assert len(many.languages) == 1100
     fitted = Model.fit([np.arange(i * 9, i * 9 + 9, dtype=np.int32) for i in range(6)], list("uvwxyz"), 2, 0.01)
     assert len(np.flatnonzero(fitted.columns)) == 54
+
+
+def plain_values(rows, langs, marks, ridge):
+    """One-against-rest kernel ridge regression on Nyström features, from the kernel by its definition; a function that
+    gives a set's values for each language."""
+    seen = set().union(*(rows[i] for i in marks))
+
+    def kernel(x, y):
+        x = x & seen
+        return len(x & y) / max(1.0, math.sqrt(len(x))) / max(1.0, math.sqrt(len(y)))
+
+    values, vectors = np.linalg.eigh(np.array([[kernel(rows[i], rows[j]) for j in marks] for i in marks]))
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    z = np.array([[kernel(r, rows[j]) for j in marks] for r in rows]) @ root
+    names = sorted(set(langs))
+    w = np.array([len(langs) / len(names) / langs.count(x) for x in langs])
+    a = np.vstack([np.sqrt(w)[:, None] * z, math.sqrt(ridge) * np.eye(z.shape[1])])
+    y = np.array([[1.0 if x == n else -1.0 for n in names] for x in langs]) * np.sqrt(w)[:, None]
+    beta = np.linalg.lstsq(a, np.vstack([y, np.zeros((z.shape[1], len(names)))]), rcond=None)[0]
+    return lambda r: np.array([kernel(r, rows[j]) for j in marks]) @ root @ beta
+
+
+def test_values_are_those_of_the_unfolded_kernel():
+    rng = np.random.default_rng(3)
+    words = {"a": "the and of here there".split(), "b": "le la et ici voila".split(), "c": "der die und hier da".split()}
+    texts = [(" ".join(rng.choice(words[x], 12)), x) for x in "abcab" * 9]
+    rows, langs = [places(t) for t, _ in texts], [x for _, x in texts]
+    model = Model.fit(rows, langs, 12, 0.05)
+    turn, order = {}, []
+    for i, x in enumerate(langs):
+        turn[x] = turn.get(x, 0) + 1
+        order.append((turn[x], i))
+    marks = [i for _, i in sorted(order)[:12]]
+    plain = plain_values([set(r.tolist()) for r in rows], langs, marks, 0.05)
+    tried = rows + [places("the cat and the dog"), places("xyz"), places("le chat"), np.zeros(0, np.int32)]
+    got, known = model.values(tried)
+    assert np.allclose(got, [plain(set(r.tolist())) for r in tried], atol=1e-4)
+    assert known[-1] == 0 and (got[-1] == 0).all()
+    langs, best, familiar = model.judge(["the and of", "", None, "12", "你好"])
+    assert langs == ["a", "und", "und", "und", langs[4]] and best[1:4] == [0, 0, 0] and familiar[0] == 1 and familiar[4] < 0.1
+
+
+def test_names_and_long_texts(spark):
+    rows = [(1, "the cat and the dog " * 30_000, "en", 7.0, "x"), (2, "le chat et le chien", "fr", 8.0, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _found double, answer string")
+    got = {r.doc_id: r for r in identify(df, train(df), familiar=True).collect()}
+    assert (got[1].lang_pred, got[1]._found, got[2].answer) == ("en", 7.0, "y") and got[1].familiar > 0.9
+    assert identify(df, train(df), keep=[]).columns == ["lang_pred", "score"]
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    df = spark.createDataFrame([(i, f"{'the dog' if i % 2 else 'le chien'} {i} " * 500, "en" if i % 2 else "fr") for i in range(60)], "doc_id long, text string, lang string")
+    assert train(df, most_bytes=400_000).languages == ["en", "fr"]
+    assert train(df, most_bytes=10).languages == []
+
+
+def test_ties_go_to_the_first_language():
+    r = [np.array([1, 2, 3], np.int32), np.array([1, 2, 3], np.int32)]
+    model = Model.fit(r, ["b", "a"], 2, 0.1)
+    assert model.scores(r).round(6).tolist() == [[0.5, 0.5]] * 2 and model.languages == ["a", "b"]
+    assert model.scores(r).argmax(1).tolist() == [0, 0]

@@ -6,7 +6,7 @@ sequence it fits into for which the sum over all residual gaps of the squared nu
 becomes smallest; of equal sums the smallest gap, and a new sequence only if it fits nowhere. That rule keeps many
 different gaps open, so that later, smaller pieces find one that they fill.
 
-Packing runs where the pieces' table is read, in slices of up to ``slice_rows`` pieces, so neither memory nor
+Packing runs where the pieces' table is read, in slices of up to ``slice_rows`` pieces, fewer where ids go along, so neither memory nor
 time depends on how pieces are distributed; each slice leaves about one sequence partly filled.
 """
 
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ from .tokens import encoder
 from .words import with_end
 
 CAPACITY = 2048
-SLICE_ROWS = 131_072
+#: Pieces that are packed together, and ids that go along with them.
+SLICE_ROWS, SLICE_IDS = 131_072, 1 << 24
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _NONE = np.iinfo(np.int64).max
 
@@ -86,18 +88,18 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     return run
 
 
-def _place(capacity: int, slice_rows: int):
+def _place(capacity: int, slice_rows: int, slice_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         waiting: list[pa.RecordBatch] = []
-        held = 0
+        held = ids = 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal first, waiting, held
+            nonlocal first, waiting, held, ids
             rows = pa.Table.from_batches(waiting).combine_chunks()
             sequence, offset = sum_of_squares(rows.column("length").to_numpy(), capacity)
             rows = rows.append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
-            first, waiting, held = first + int(sequence.max()) + 1, [], 0
+            first, waiting, held, ids = first + int(sequence.max()) + 1, [], 0, 0
             yield from rows.to_batches()
 
         for batch in batches:
@@ -106,7 +108,9 @@ def _place(capacity: int, slice_rows: int):
                 part = batch.slice(a, slice_rows - held)
                 waiting.append(part)
                 a, held = a + part.num_rows, held + part.num_rows
-                if held == slice_rows:
+                if "ids" in part.schema.names:
+                    ids += pc.sum(part.column("length")).as_py()
+                if held == slice_rows or ids >= slice_ids:
                     yield from close()
         if held:
             yield from close()
@@ -125,7 +129,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     rows = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = PIECES + (", ids array<int>" if with_ids else "")
     pieces, _ = materialise(rows.mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), schema), "pieces")
-    return pieces.mapInArrow(_place(capacity, slice_rows), schema + ", sequence_id long, offset long")
+    return pieces.mapInArrow(_place(capacity, slice_rows, SLICE_IDS), schema + ", sequence_id long, offset long")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

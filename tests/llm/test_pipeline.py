@@ -1,3 +1,7 @@
+import zlib
+
+import numpy as np
+
 import corpus_pipeline as p
 from ledgerline.llm.language import train_on_documents
 from ledgerline.llm.simhash import fingerprints
@@ -65,3 +69,21 @@ def test_texts_stay_where_no_language_is_known(spark):
     rows = [(1, "words of a text", None, "s", 3), (2, "12 34", None, "s", 5), (3, None, None, "s", None), (4, "été", None, "s", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in p.keep_identified(spark, docs, SF).collect()) == [1, 4]
+
+
+def test_callers_columns_come_through(spark):
+    rows = [(i, f"the cat and the dog are here {i} " + " ".join(f"w{i}x{k}" for k in range(40)), None, "s", 3, 7.5, "xx", "f", i, "d", "p") for i in range(1, 30)]
+    rows.append((40, "\u4f60\u597d\u4e16\u754c " * 9, None, "s", 3, 7.5, "xx", "f", 1, "d", "p"))
+    rows += [(50 + i, f"le chat et le chien {i} " + " ".join(f"v{i}y{k}" for k in range(40)), "fr", "s", 3, 7.5, "xx", "f", i, "d", "p") for i in range(9)]
+    rows += [(70 + i, f"the dog and the cat {i} here " + " ".join(f"u{i}z{k}" for k in range(40)), "en", "s", 3, 7.5, "xx", "f", i, "d", "p") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, _found string, _row int, doc string, place string")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SF).collect()
+        assert len(out) == len(rows) - 1
+        for r in out:
+            assert (r.score, r.lang_pred, r._found, r.doc, r.place) == (7.5, "xx", "f", "d", "p")
+            assert r._row == (r.doc_id if r.doc_id < 30 else r.doc_id - 50 if r.doc_id < 60 else r.doc_id - 70)
+            assert r.lang == ("fr" if 50 <= r.doc_id < 60 else "en")
+        docs = spark.createDataFrame(out, docs.schema)
+    packed = p.pack(spark, docs, SF).collect()
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in packed)

@@ -1,18 +1,22 @@
 """Exact top-k search by inner product with KD-trees.
 
-Candidates are dealt over shards of about ``shard_rows``, queries over blocks of ``block_rows``; every shard meets every
-block in a task of its own, whose memory those two numbers bound. A shard builds a KD-tree: each node splits at the
-median of its widest dimension and keeps the tight box around its points. For a query q and a box the inner product is
-at most the sum over dimensions of max(q * low, q * high). Nodes are visited best bound first; a query ends when the
-best bound left is below its kth score.
-
-A block's queries are candidates too, so before any shard is searched each query already knows a kth score from its
-block. That score goes along to all shards, and what a shard can't better is not returned.
+Candidates are dealt over shards of at most ``shard_rows``. A shard builds a KD-tree: each node splits at the median of its
+widest dimension and keeps the tight box around its points. For a query q and a box the inner product is at most the sum
+over dimensions of max(q * low, q * high). Nodes are visited best bound first; a query ends when the best bound left is
+below its kth score.
+
+Queries go from shard to shard in rounds, each beginning at a shard of its own: first to one shard, then to three more,
+then to twelve, and so on. After a round a query's best k so far are merged, and its kth score goes along to the next
+round's shards, which return only what can better it. In a round a shard's candidates come to one task, which builds the
+tree, and the queries stream past it, ``block_rows`` at once; candidates aren't copied, and a task holds one shard and one
+batch of queries.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,9 @@ from pyspark.sql import functions as F
 from .shared import materialise, only, read
 
 K, SCALE = 10, 1024
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 4096, 1024, 64
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 32_768, 1024, 256
+#: Components in a shard, at most, and rows for which a shard of its own is worth while.
+SHARD_SIZE, LEAST_ROWS = 1 << 23, 4096
 _LOW = np.iinfo(np.int64).min
 
 
@@ -112,36 +118,39 @@ def _matrix(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarra
     return out
 
 
-def _seed(k: int):
-    """Adds to each query of a block the kth best score among the block's other queries."""
-
-    def run(key: tuple, block: pa.Table) -> pa.Table:
-        bound = np.full(len(block), _LOW)
-        for at, ids, v in _matrix(block).values():
-            for a in range(0, len(at), 256):
-                score = product(v[a : a + 256], v)
-                score[ids[a : a + 256, None] == ids[None, :]] = _LOW
-                if len(at) > k:
-                    bound[at[a : a + 256]] = np.partition(score, len(at) - k, axis=1)[:, len(at) - k]
-        return block.append_column("bound", pa.array(bound))
+def _search(k: int, block_rows: int):
+    """Rows by (shard, asks): a shard's candidates, then its queries with their bounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: int | None = None
+        waiting: list[pa.RecordBatch] = []
+        trees: dict[int, KdTree] = {}
+        for batch in batches:
+            shard, asks = batch.column("shard").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            change = np.flatnonzero((shard[1:] != shard[:-1]) | (asks[1:] != asks[:-1])) + 1 if len(shard) else []
+            for a, b in itertools.pairwise([0, *change, len(shard)] if len(shard) else []):
+                if shard[a] != at:
+                    at, waiting, trees = shard[a], [], {}
+                if not asks[a]:
+                    waiting.append(batch.slice(a, b - a))
+                    continue
+                if waiting:
+                    trees = {d: KdTree(ids, x) for d, (_, ids, x) in _matrix(pa.Table.from_batches(waiting)).items()}
+                    waiting = []
+                for c in range(a, b, block_rows):
+                    yield from _answers(trees, pa.Table.from_batches([batch.slice(c, min(b - c, block_rows))]), k)
 
     return run
 
 
-def _search(k: int):
-    def run(key: tuple, candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        ranked: list[tuple[int, int, int]] = []
-        if len(candidates) and len(queries):
-            bound, points = queries.column("bound").to_numpy(), _matrix(candidates)
-            for d, (at, own, v) in _matrix(queries).items():
-                if d in points:
-                    _, ids, x = points[d]
-                    for q, found in zip(own.tolist(), KdTree(ids, x).search(v, own, bound[at], k), strict=True):
-                        ranked += [(q, -i, s) for s, i in found]
-        q, i, s = zip(*ranked, strict=True) if ranked else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.int64())})
-
-    return run
+def _answers(trees: dict[int, KdTree], queries: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+    bound, ranked = queries.column("bound").to_numpy(), []
+    for d, (at, own, v) in _matrix(queries).items():
+        if d in trees:
+            for q, found in zip(own.tolist(), trees[d].search(v, own, bound[at], k), strict=True):
+                ranked += [(q, -i, s) for s, i in found]
+    if ranked:
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*ranked, strict=True)], names=["query_id", "vec_id", "score"])
 
 
 def floored(vector: str, scale: int = SCALE) -> Column:
@@ -162,16 +171,25 @@ def exact_topk(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec
     rows = only(vectors, vec_id=id_col, vector=vector_col)
     rows = rows.select(F.col("vec_id").cast("long").alias("id"), floored("vector", scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows, _ = materialise(rows.where("v IS NOT NULL AND id IS NOT NULL"), "vectors")
-    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
-    shards, blocks = max(1, -(-n.n // shard_rows)), max(1, -(-n.q // block_rows))
-    queries = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
-    queries = queries.groupBy("block").applyInArrow(_seed(k), "id long, v array<long>, block int, bound long")
-    placed = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
-    left = placed.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "id", "v", "bound")
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    spark = rows.sparkSession
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    most = max(1, min(shard_rows, SHARD_SIZE // max(1, n.d or 1)))
+    shards = max(1, -(-n.n // most), min(spark.sparkContext.defaultParallelism, n.n // LEAST_ROWS))
+    hashed = lambda *c: F.pmod(F.xxhash64(*c), F.lit(shards).cast("long"))
+    candidates = rows.select(hashed("id", "v").alias("shard"), F.lit(False).alias("asks"), "id", "v", F.lit(0).cast("long").alias("bound"))
+    queries, _ = materialise(rows.where("asks").groupBy("id").agg(F.min("v").alias("v")), "queries")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, seen = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long"), 0
+    while seen < shards:
+        after = min(shards, max(1, 4 * seen))
+        kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+        asked = queries.join(kth, "id", "left").withColumn("hop", F.explode(F.sequence(F.lit(seen).cast("long"), F.lit(after - 1).cast("long"))))
+        asked = asked.select(F.pmod(hashed("id") + F.col("hop"), F.lit(shards).cast("long")).alias("shard"), F.lit(True).alias("asks"), "id", "v", F.coalesce("bound", F.lit(_LOW)).alias("bound"))
+        placed = candidates.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "asks")
+        found = placed.mapInArrow(_search(k, block_rows), "query_id long, vec_id long, score long").unionByName(best.drop("rank"))
+        best, _ = materialise(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
+        seen = after
+    return best
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,10 +132,12 @@ def same_value(fmt: Column, as_written: Column, value: Column) -> Column:
 
 
 def _time_spellings(v: Column) -> Column:
-    hh, mm = F.split(v, ":")[0], F.split(v, ":")[1]
-    h = hh.cast("int").cast("string")
-    full = F.array(*[F.concat(x, F.lit(sep), mm) for sep in (":", ".", "") for x in (hh, h)])
-    return F.when(minutes(v).isNotNull(), F.array_distinct(F.when(mm == "00", F.concat(full, F.array(hh, h))).otherwise(full)))
+    """With and without the hour's zero, by each separator; a full hour also as the hour alone."""
+    minute = F.substring_index(v, ":", -1)
+    hours = F.array(F.substring_index(v, ":", 1), F.substring_index(v, ":", 1).cast("int").cast("string"))
+    joined = F.flatten(F.transform(F.array(F.lit(":"), F.lit("."), F.lit("")), lambda by: F.transform(hours, lambda h: F.concat(h, by, minute))))
+    alone = F.filter(hours, lambda h: minute == "00")
+    return F.when(minutes(v).isNotNull(), F.array_distinct(F.concat(joined, alone)))
 
 
 def spellings(fmt: Column, value: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.latest import places
+
 #: File types that are taken as documents: fixed values.
 SUPPORTED = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "pdf")
 
@@ -42,20 +44,35 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_count(content: Column, path: Column) -> Column:
-    """Pages of a file: of a PDF the page objects that its page tree counts, of an image one; null if it is damaged."""
+    """Pages of a file: of a PDF the page objects that its page tree counts, of an image one; null if it is damaged, or a
+    TIFF of several images, which is refused."""
     head = F.substring(content, 1, 4)
     pdf = F.lower(path).endswith(".pdf")
     counts = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(r"/Type\s*/Pages\b[^>]*?/Count\s+(\d+)|/Count\s+(\d+)[^>]*?/Type\s*/Pages\b"), F.lit(0))
     numbers = F.transform(counts, lambda x: F.regexp_extract(x, r"/Count\s+(\d+)", 1).try_cast("int"))
     magic = (F.hex(head).isin("89504E47", "49492A00", "4D4D002A")) | F.hex(F.substring(content, 1, 3)).isin("FFD8FF") | (F.hex(F.substring(content, 1, 2)) == "424D")
-    return F.when(pdf, F.when(F.hex(head) == "25504446", F.array_max(numbers))).when(magic, 1)
+    return F.when(pdf, F.when(F.hex(head) == "25504446", F.array_max(numbers))).when(magic & ~F.coalesce(_more_tiff_frames(content), F.lit(False)), 1)
+
+
+def _more_tiff_frames(content: Column) -> Column:
+    """Whether a TIFF's first directory names a next one. Null for other files."""
+    h = F.hex(content)
+    little = F.substring(h, 1, 8) == "49492A00"
+    turn = lambda x: F.concat(*[F.substring(x, i, 2) for i in (7, 5, 3, 1)])
+    number = lambda at, n: F.conv(F.when(little, F.substring(turn(F.lpad(F.substr(h, at, F.lit(2 * n)), 8, "0")) if n == 4 else F.concat(F.substr(h, at + 2, F.lit(2)), F.substr(h, at, F.lit(2))), 1, 2 * n)).otherwise(F.substr(h, at, F.lit(2 * n))), 16, 10).cast("long")
+    first = number(F.lit(9), 4)
+    entries = number((2 * first + 1).cast("int"), 2)
+    following = number((2 * (first + 2 + 12 * entries) + 1).cast("int"), 4)
+    return F.when(little | (F.substring(h, 1, 8) == "4D4D002A"), F.coalesce(following, F.lit(0)) != 0)
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType, required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of an append-only log with seq, their place in it, and its broken lines (a torn last one, say). Lines get
-    their places from the file's own order: partition and row number of a scan that isn't shuffled."""
-    lines = spark.read.text(path, wholetext=False).where("trim(value) <> ''")
-    lines = lines.withColumn("seq", F.monotonically_increasing_id())
+    """Rows of an append-only log with seq, their place in it, and its broken lines (a torn last one, say). A log is a
+    file, or a folder of files whose names are in order, as append_jsonl() makes it: a line's place is that of its file,
+    and in it of its block and its row, however files are dealt over tasks."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = places(lines.where("trim(value) <> ''"), [F.col("file"), F.col("block"), F.col("row")], "seq").select("seq", "value")
     full = T.StructType([*schema, T.StructField("_bad", T.StringType())])
     rows = lines.select("seq", "value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     good = F.col("r").isNotNull() & F.col("r._bad").isNull()
@@ -97,7 +114,7 @@ def inspection_csv(spark: SparkSession, path: str, columns: list[str], encodings
                     except UnicodeDecodeError:
                         continue
                 else:
-                    continue
+                    raise ValueError(f"{name} is in none of the encodings {encodings}")
                 day = re.search(r"(\d{4})-?(\d{2})-?(\d{2})", name.rsplit("/", 1)[-1])
                 for line in list(csv.reader(io.StringIO(text)))[3:]:
                     cells = [c.replace("?", " ") for c in line[: len(columns)]]

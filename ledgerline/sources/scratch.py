@@ -49,9 +49,25 @@ def passing(spark: SparkSession) -> Iterator[None]:
             drop_table(spark, path)
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
+def file_system(spark: SparkSession, path: str):
+    """The store that a path is in, and the path as it knows it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    fs, where = file_system(spark, path)
+    fs.delete(where, True)
+
+
+def folders(spark: SparkSession, path: str, finished: bool = False) -> list[str]:
+    """Names of the folders in a folder; with ``finished`` those only that a write has completed."""
+    fs, where = file_system(spark, path)
+    if not fs.exists(where):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(n for n in names if not finished or fs.exists(done(f"{path}/{n}/_SUCCESS")))
 
 
 def _drop_at_exit(spark: SparkSession, path: str) -> None:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import model
-from ledgerline.operators import diff, reconcile, sampling
+from ledgerline.operators import diff, latest, reconcile, sampling
 from ledgerline.sources import files, recognizers, sinks
 from ledgerline.streaming import worker
 
@@ -204,3 +204,56 @@ def test_model():
     with pytest.raises(ValueError):
         model.check_version(7)
     model.check_version("8")
+
+
+def test_log_order_is_that_of_writing(spark, tmp_path):
+    log = str(tmp_path / "log")
+    say = lambda rows: spark.createDataFrame([(f"{v}{i}", "d1", "date", v, "kim", "t", None) for i, v in rows], "decision_id string, target string, kind string, value string, decided_by string, decided_at string, note string")
+    sinks.append_jsonl(say([(0, "2025-01-01")]), log)
+    sinks.append_jsonl(say([(i, f"2025-02-{i % 28 + 1:02d}" + "x" * 2000) for i in range(60)] + [(99, "2025-03-01")]).coalesce(1), log)
+    got = files.decisions(spark, log).orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(1, 63)) and got[0].value == "2025-01-01" and got[-1].value == "2025-03-01"
+    assert latest.effective_decisions(files.decisions(spark, log)).first().date == "2025-03-01"
+    for n in range(3, 13):  # ten batches, whose names sort as numbers do
+        sinks.append_jsonl(say([(n, f"2025-04-{n:02d}")]), log, order=["decision_id"])
+    assert latest.effective_decisions(files.decisions(spark, log)).first().date == "2025-04-12"
+
+
+def test_versions_are_numbers_and_half_written_ones_do_not_count(spark, tmp_path):
+    p = str(tmp_path / "t")
+    for n in range(8, 12):
+        sinks.merge_table(spark, p, table(spark, [("r", n, "a")]), ["k"], [], f"v{n}")
+    (tmp_path / "t" / "v12").mkdir()
+    assert sinks.newest_version(spark, p).endswith("v11")
+    assert sorted(r.k for r in spark.read.parquet(f"{p}/v11").collect()) == [8, 9, 10, 11]
+    assert sinks.merge_table(spark, p, table(spark, [("r", 20, "a")]), ["k"], []).endswith("v13")
+    assert spark.read.parquet(f"{p}/v13").count() == 5
+    with pytest.raises(ValueError):
+        sinks.merge_table(spark, p, table(spark, [("r", 20, "a")]), ["k"], [], "v2")
+
+
+def test_publish_guards_its_target(spark):
+    old, none, kept = [("d1", 1, "a"), ("d2", 2, "b")], [], []
+    write = lambda df: kept.append(as_set(df))
+    with pytest.raises(ValueError):
+        sinks.publish(table(spark, none), table(spark, old), table(spark, none), ["day"], ["k", "v"], write)
+    with pytest.raises(ValueError):
+        sinks.publish(table(spark, old), table(spark, old), table(spark, old), ["day"], ["k", "v"], write, site="a", target_site="b")
+    assert kept == []
+    new = [("d1", 1, "a\x00"), ("d3", 3, "c")]
+    plan = sinks.publish(table(spark, new), table(spark, old), table(spark, new), ["day"], ["k", "v"], write)
+    assert {r.day: r.action for r in plan.collect()} == {"d1": "skip", "d2": "remove", "d3": "replace"}
+    assert kept == [[("d1", 1, "a"), ("d3", 3, "c")]]
+    plan = sinks.publish(table(spark, old), table(spark, old), table(spark, old), ["day"], ["k", "v"], write, rebuild=True)
+    assert {r.day: r.action for r in plan.collect()} == {"d1": "replace", "d2": "replace"} and kept[-1] == sorted(old)
+
+
+def test_tiff_frames(spark):
+    import struct
+
+    def tiff(order, following):
+        return (b"II*\x00" if order == "<" else b"MM\x00*") + struct.pack(f"{order}IHHHII", 8, 1, 256, 3, 1, 1) + struct.pack(f"{order}I", following)
+
+    rows = [("a.tif", bytearray(tiff("<", 0))), ("b.tif", bytearray(tiff(">", 0))), ("c.tif", bytearray(tiff("<", 99))), ("d.tiff", bytearray(tiff(">", 70000)))]
+    got = {r.path: r.n for r in spark.createDataFrame(rows, "path string, content binary").select("path", files.page_count(F.col("content"), F.col("path")).alias("n")).collect()}
+    assert got == {"a.tif": 1, "b.tif": 1, "c.tif": None, "d.tiff": None}

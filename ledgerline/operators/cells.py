@@ -152,3 +152,41 @@ def worst(state_col: Column) -> Column:
     """Illegible over pending over value; empty only if all are. An aggregate."""
     any_of = lambda s: F.max((state_col == s).cast("int")) == 1
     return F.when(any_of("illegible"), "illegible").when(any_of("pending"), "pending").when(F.min((state_col == "empty").cast("int")) == 1, "empty").otherwise("value")
+
+
+def assign_blobs(blobs: DataFrame, boxes: DataFrame, cell_width: Column, least_overlap: float = 0.3, note_span: float = 1.6) -> tuple[DataFrame, DataFrame]:
+    """Connected writing (page_id, blob_id, x0, y0, x1, y1, ink) to the cells (page_id, cell_id, box) that it is in.
+
+    A blob hits a cell if they share at least ``least_overlap`` of the smaller one. One much wider than a cell, or that hits
+    three cells or more, or is wider than a cell and hits none, is a note across cells and belongs to none; any other belongs
+    to the cell that it shares most with, at equal shares the first. Returns ink by cell, and the blobs with ``note``. A
+    page has a form's cells and some hundreds of blobs, which meet on the page's id."""
+    area = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
+    c = boxes.select("page_id", "cell_id", *[F.col(k).alias(f"c_{k}") for k in ("x0", "y0", "x1", "y1")])
+    side = lambda a: F.greatest(F.lit(0), F.least(F.col(f"{a}1"), F.col(f"c_{a}1")) - F.greatest(F.col(f"{a}0"), F.col(f"c_{a}0")))
+    met = blobs.join(c, "page_id").withColumn("shared", side("x") * side("y"))
+    hits = met.where((F.col("shared") > 0) & (F.col("shared") >= least_overlap * F.least(area(""), area("c_"))))
+    best = hits.groupBy("page_id", "blob_id").agg(F.count(F.lit(1)).alias("hits"), F.min_by("cell_id", F.struct(-F.col("shared"), "cell_id")).alias("cell_id"))
+    width = F.col("x1") - F.col("x0")
+    j = blobs.join(best, ["page_id", "blob_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    note = (width > note_span * cell_width) | (F.col("hits") >= 3) | ((F.col("hits") == 0) & (width > cell_width))
+    j = j.withColumn("note", note).withColumn("cell_id", F.when(~F.col("note"), F.col("cell_id")))
+    return j.where("cell_id IS NOT NULL").groupBy("page_id", "cell_id").agg(F.sum("ink").alias("ink")), j.select("page_id", "blob_id", "hits", "note", "cell_id")
+
+
+def crop_spec(box: tuple[str, str, str, str], pad: int, width: Column, height: Column, scale: Column) -> Column:
+    """Where a cell's crop lies in the source image: the box with a margin, scaled from the aligned page to the source's
+    resolution and kept within it."""
+    x0, y0, x1, y1 = (F.col(b) for b in box)
+    low = lambda v: F.greatest(F.lit(0), F.floor((v - pad) * scale)).cast("int")
+    high = lambda v, most: F.least(most, F.ceil((v + pad) * scale)).cast("int")
+    return F.struct(low(x0).alias("x0"), low(y0).alias("y0"), high(x1, width).alias("x1"), high(y1, height).alias("y1"))
+
+
+def unused_columns(marks: DataFrame, by: list[str], share: float = 0.8) -> DataFrame:
+    """Pairs of tick cells (``by`` and yes, no as found, 1 or 0) with what they say: where nearly all pairs of a page's column
+    are empty it wasn't used, and none of them says anything."""
+    empty = (F.coalesce("yes", F.lit(0)) == 0) & (F.coalesce("no", F.lit(0)) == 0)
+    g = marks.groupBy(*by).agg((F.count_if(empty) >= share * F.count(F.lit(1))).alias("column_unused"))
+    says = F.when(F.col("column_unused") | (F.col("yes") == F.col("no")), F.lit(None).cast("int")).otherwise((F.col("yes") > F.col("no")).cast("int"))
+    return marks.join(g, by).withColumn("says", says)

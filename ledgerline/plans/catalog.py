@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import reconciliation, reporting, values  # noqa: E402, F401
+from . import business, reconciliation, records, reporting, values  # noqa: E402, F401

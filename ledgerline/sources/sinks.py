@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..operators import diff
-from .scratch import folders, materialise
+from .scratch import file_system, folders, materialise
 
 
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:

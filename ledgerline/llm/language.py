@@ -20,12 +20,11 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_table, materialise, only, read
+from .shared import drop_table, give_back, materialise, only, read
 
 PLACE_BITS, LONGEST = 20, 4
 #: Bounds of what is fitted on the driver: training rows for each language and in all, landmarks, ridge.
@@ -40,8 +39,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 _MIX = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F]
 #: Bytes whose n-grams are looked at together; pieces overlap so that no n-gram is lost.
 _AT_ONCE = 1 << 20
-#: Places of texts that are scored together, about.
-_BATCH = 1 << 21
+#: Texts that are taken together, and places of texts that are scored together, about.
+_ROWS, _BATCH = 1000, 1 << 21
 
 
 def has_letter(text: str | None) -> bool:
@@ -218,12 +217,16 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.columns, model.weights))  # 4 MB, and at most WEIGHT_BYTES
 
-    @F.pandas_udf("lang_pred string, score double, familiar double")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        own = Model(*shared.value)
-        langs, best, known = own.judge([t if isinstance(t, str) else None for t in texts])
-        return pd.DataFrame({"lang_pred": langs, "score": best, "familiar": known})
+    @F.arrow_udf("struct<lang_pred: string, score: double, familiar: double>")
+    def score(texts: pa.Array) -> pa.Array:
+        own, parts = Model(*shared.value), []
+        for a in range(0, len(texts), _ROWS):
+            langs, best, known = own.judge(texts.slice(a, _ROWS).to_pylist())
+            parts.append(pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(best, pa.float64()), pa.array(known, pa.float64())], ["lang_pred", "score", "familiar"]))
+        give_back()
+        return pa.concat_arrays(parts)
 
+    score = score.asNondeterministic()  # else a condition on an answer would have texts scored once more
     new = ["lang_pred", "score", *(["familiar"] if familiar else [])]
     names = [c for c in (docs.columns if keep is None else keep) if c not in new]
     # one struct, so that the answer's name is beside no other

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise, read
+from .shared import by_rows, give_back, materialise, read
 
 MIN_CHARS = 10
 #: Lines that a shard of the index should hold; the number of shards follows that of lines.
@@ -156,7 +156,7 @@ class LineIndex:
 
 def _extract(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_rows(batches):
             ids, docs = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if doc is not None and text:
@@ -166,6 +166,7 @@ def _extract(min_chars: int):
                     docs.extend([doc] * len(own))
             hashes = np.frombuffer(b"".join(ids), ">i8").reshape(-1, 2).astype("<i8")
             yield pa.record_batch([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(docs, pa.int64())], names=["hi", "lo", "doc_id"])
+        give_back()
 
     return run
 
@@ -241,7 +242,7 @@ def _rewrite(min_chars: int, names: list[str]):
     """``names``: the columns that pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_rows(batches):
             texts, n, dropped = [], [], []
             for text, lost in zip(batch.column("text").to_pylist(), batch.column("lost").to_pylist(), strict=True):
                 t, a, b = rewrite(text, set(lost or ()), min_chars)
@@ -249,6 +250,7 @@ def _rewrite(min_chars: int, names: list[str]):
                 n.append(a)
                 dropped.append(b)
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "text", "n_lines", "n_dropped"])
+        give_back()
 
     return run
 

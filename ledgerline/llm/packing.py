@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, only, read
+from .shared import give_back, materialise, only, read
 from .tokens import encoder
 from .words import with_end
 
 CAPACITY = 2048
 #: Pieces that are packed together, and ids that go along with them.
-SLICE_ROWS, SLICE_IDS = 131_072, 1 << 24
+SLICE_ROWS, SLICE_IDS = 131_072, 1 << 21
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _NONE = np.iinfo(np.int64).max
 
@@ -79,16 +79,28 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                 cols = [rows.take(pa.array(done + of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view(np.int32))))
-                    names.append("ids")
+                    narrow = memoryview(ids.astype(_kind(path)).tobytes())
+                    width = narrow.nbytes // max(1, len(ids))
+                    cols.append(pa.array([narrow[width * a : width * b] for a, b in zip((at[of] + start).tolist(), (at[of] + start + length).tolist(), strict=True)], pa.binary()))
+                    names.append("packed")
                 yield pa.record_batch(cols, names=names)
                 done += len(sizes)
 
     return run
 
 
-def _place(capacity: int, slice_rows: int, slice_ids: int):
+def _kind(path: str) -> str:
+    """How ids of a tokenizer are kept on their way: in as few bytes as all of them fit."""
+    return "<u2" if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def _unpacked(packed: pa.ChunkedArray, kind: str) -> pa.ListArray:
+    data = [x.as_buffer() for x in packed]
+    ends = np.concatenate([[0], np.cumsum([x.size for x in data])]).astype(np.int32) // np.dtype(kind).itemsize
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), kind).astype(np.int32)))
+
+
+def _place(path: str, capacity: int, slice_rows: int, slice_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         waiting: list[pa.RecordBatch] = []
@@ -98,6 +110,8 @@ def _place(capacity: int, slice_rows: int, slice_ids: int):
             nonlocal first, waiting, held, ids
             rows = pa.Table.from_batches(waiting).combine_chunks()
             sequence, offset = sum_of_squares(rows.column("length").to_numpy(), capacity)
+            if "packed" in rows.column_names:
+                rows = rows.set_column(rows.column_names.index("packed"), "ids", _unpacked(rows.column("packed"), _kind(path)))
             rows = rows.append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
             first, waiting, held, ids = first + int(sequence.max()) + 1, [], 0, 0
             yield from rows.to_batches()
@@ -108,12 +122,13 @@ def _place(capacity: int, slice_rows: int, slice_ids: int):
                 part = batch.slice(a, slice_rows - held)
                 waiting.append(part)
                 a, held = a + part.num_rows, held + part.num_rows
-                if "ids" in part.schema.names:
+                if "packed" in part.schema.names:
                     ids += pc.sum(part.column("length")).as_py()
                 if held == slice_rows or ids >= slice_ids:
                     yield from close()
         if held:
             yield from close()
+        give_back()
 
     return run
 
@@ -127,9 +142,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     an empty result. Other columns play no part.
     """
     rows = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    schema = PIECES + (", ids array<int>" if with_ids else "")
-    pieces, _ = materialise(rows.mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), schema), "pieces")
-    return pieces.mapInArrow(_place(capacity, slice_rows, SLICE_IDS), schema + ", sequence_id long, offset long")
+    kept, given = (", packed binary", ", ids array<int>") if with_ids else ("", "")
+    pieces, _ = materialise(rows.mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), PIECES + kept), "pieces")
+    return pieces.mapInArrow(_place(tokenizer, capacity, slice_rows, SLICE_IDS), PIECES + given + ", sequence_id long, offset long")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import give_back
+
 #: Words that a worker keeps, and the longest that it keeps, in bytes.
-KEPT_WORDS, KEPT_BYTES = 700_000, 64
+KEPT_WORDS, KEPT_BYTES = 300_000, 64
 #: Texts whose words are looked up at once hold about so many bytes.
-AT_ONCE = 12 << 20
+AT_ONCE = 3 << 20
 IDS = pa.list_(pa.uint32())
 
 
@@ -47,7 +49,7 @@ def slices(texts: pa.Array, most: int = AT_ONCE) -> Iterator[pa.Array]:
     while a < len(texts):
         b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most, "right")))
         yield pa.concat_arrays([texts.slice(a, b - a)])
-        pa.default_memory_pool().release_unused()  # to the JVM beside
+        give_back()
         a = b
 
 

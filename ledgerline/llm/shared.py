@@ -32,14 +32,13 @@ _SETTING, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have texts go to Python ``BATCH_ROWS`` at a time, for the queries and the pipeline, unless the session says
-    otherwise: a batch is held by the JVM, by the worker, and once more while it is taken apart."""
+    """Have texts go to Python ``BATCH_ROWS`` at a time, unless the session says otherwise: a batch is held by the JVM, by the
+    worker, and once more while it is taken apart. For jobs of many stages, whose workers and executors stay."""
     if spark.conf.get(_SETTING) == _DEFAULT:
         spark.conf.set(_SETTING, str(BATCH_ROWS))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 from .shared import give_back
 
 #: Words that a worker keeps, and the longest that it keeps, in bytes.
-KEPT_WORDS, KEPT_BYTES = 300_000, 64
+KEPT_WORDS, KEPT_BYTES = 500_000, 64
 #: Texts whose words are looked up at once hold about so many bytes.
-AT_ONCE = 3 << 20
+AT_ONCE = 8 << 20
 IDS = pa.list_(pa.uint32())
 
 

@@ -29,7 +29,7 @@ from .words import with_end
 
 CAPACITY = 2048
 #: Pieces that are packed together, and ids that go along with them.
-SLICE_ROWS, SLICE_IDS = 131_072, 1 << 21
+SLICE_ROWS, SLICE_IDS = 131_072, 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _NONE = np.iinfo(np.int64).max
 
@@ -115,6 +115,7 @@ def _place(path: str, capacity: int, slice_rows: int, slice_ids: int):
             rows = rows.append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
             first, waiting, held, ids = first + int(sequence.max()) + 1, [], 0, 0
             yield from rows.to_batches()
+            give_back()
 
         for batch in batches:
             a = 0

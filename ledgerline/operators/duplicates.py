@@ -26,21 +26,24 @@ def hold_repeats(pages: DataFrame, by: list[str], order: str, vector: str, key:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([order, key])
-        kept: dict[int, tuple[list[str], list[np.ndarray]]] = {}
+        kept: dict[int, tuple[list[str], np.ndarray]] = {}  # by length: pages, and their vectors in the first rows of a matrix
         out = []
         for name, v in zip(group[key].astype(str), group[vector], strict=True):
             v = np.asarray(v if v is not None else [], dtype=np.float64)
             n = np.linalg.norm(v)
-            names, rows = kept.setdefault(len(v), ([], []))
-            if n and rows:
-                sims = np.stack(rows) @ (v / n)
+            names, rows = kept.setdefault(len(v), ([], np.empty((16, len(v)))))
+            if n and names:
+                sims = rows[: len(names)] @ (v / n)
                 i = int(sims.argmax())
                 if sims[i] >= threshold:
                     out.append((name, names[i], float(sims[i])))
                     continue
             if n:
+                if len(names) == len(rows):
+                    rows = np.concatenate([rows, np.empty_like(rows)])
+                    kept[len(v)] = names, rows
+                rows[len(names)] = v / n
                 names.append(name)
-                rows.append(v / n)
         return pd.DataFrame(out, columns=[key, "duplicate_of", "similarity"])
 
     return pages.select(*by, order, vector, key).groupBy(*by).applyInPandas(run, schema) if key != order else pages.select(*by, vector, key).groupBy(*by).applyInPandas(run, schema)

@@ -28,13 +28,6 @@ def haul_lines(cells: DataFrame) -> DataFrame:
     return cells.groupBy("work_date", "shift", "slot").agg(F.when(bad == 0, F.coalesce(F.sum("trips"), F.lit(0))).alias("total"))
 
 
-def haul_month(cells: DataFrame, days: DataFrame, items: list[str], slots: DataFrame) -> DataFrame:
-    """Days of a calendar by slots: a column for each item; a day without a document says so."""
-    grid = days.select("work_date").join(slots.select("slot"))
-    wide = cells.groupBy("work_date", "shift", "slot").pivot("item", items).agg(F.first(F.struct("mark", "trips")))
-    return grid.join(wide, ["work_date", "slot"], "left").withColumn("no_document", F.col("shift").isNull())
-
-
 def provisional(checks: DataFrame, haul: DataFrame, unsure: Column) -> DataFrame:
     """Checks with whether any row they compare isn't settled."""
     key = ["work_date", "slot", "material", "level"]

@@ -153,10 +153,10 @@ def closed_list(scores: DataFrame, unlisted_ratio: float = 10.0) -> DataFrame:
 
 
 def merge_answers(beams: DataFrame) -> DataFrame:
-    """Beams of a reader (cell_id, kind, value, text, probability): equal values add up, the likeliest text stands for
-    them, and the likeliest value is the answer."""
+    """Beams of a reader (cell_id, kind, value, text, probability): equal values of a kind add up, the likeliest text stands
+    for them, and the likeliest value is the answer; of equally likely ones the last by value, then by kind."""
     g = beams.groupBy("cell_id", "kind", "value").agg(F.sum("probability").alias("probability"), F.max_by("text", F.struct("probability", "text")).alias("text"))
-    best = g.groupBy("cell_id").agg(F.max_by(F.struct("kind", "value", "text", "probability"), F.struct("probability", "value")).alias("b"))
+    best = g.groupBy("cell_id").agg(F.max_by(F.struct("kind", "value", "text", "probability"), F.struct("probability", "value", "kind")).alias("b"))
     return best.select("cell_id", "b.*")
 
 

@@ -165,3 +165,13 @@ def test_reports(spark):
     f = spark.createDataFrame([("reading", "auto", 1, "8.0", "m"), ("reading", "pending", 1, "08.00", "m"), ("time", "auto", 0, "", "m"), ("time", "auto", 1, "8", "ink"), ("integer", "auto", 1, "8", "m")], "format string, status_raw string, has_value_raw int, value_raw string, backend string")
     got = {r.format: tuple(r)[1:] for r in report.format_cells(f).collect()}
     assert got == {"reading": (2, 1, 0, 1, 1), "time": (1, 0, 1, 0, 0)}
+
+
+def test_equally_likely_values_go_by_value_then_kind(spark):
+    data = [(cell, kind, "v", f"{kind}{cell}", 0.5) for cell in range(60) for kind in "abc"] + [(99, "z", "v", "t", 0.5), (99, "a", "w", "u", 0.5)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a cell's values come from several tasks, as on large tables
+    try:
+        got = {r.cell_id: (r.kind, r.value, r.text) for r in evaluate.merge_answers(spark.createDataFrame(data, "cell_id long, kind string, value string, text string, probability double")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {cell: ("c", "v", f"c{cell}") for cell in range(60)} | {99: ("a", "w", "u")}

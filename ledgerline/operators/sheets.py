@@ -21,6 +21,12 @@ SETTLED = ("first", "unknown")
 SHIFTS = ("day", "night")
 
 
+def matched(rows: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join with a table that grows with the pages. Spark takes some columns of compressed files for far smaller than their
+    rows are, and would gather them all in the driver to broadcast them; sorted on both sides nothing passes through it."""
+    return rows.join(other.hint("merge"), on, how)
+
+
 def sure(state: Column) -> Column:
     return ~state.isin(*UNSURE)
 
@@ -61,7 +67,7 @@ def day_pages(pages: DataFrame, documents: DataFrame, days: list[str] | None = N
     p = pages.where(F.col("work_date").isin(*days)) if days is not None else pages
     d = documents.select("document_id", "source_name", "source_rel", "source_path")
     key = page_key(document_key(F.col("source_rel"), F.col("source_path"), F.col("document_id")), F.col("page_no"))
-    return p.join(d, "document_id").withColumn("source", F.concat_ws("#", "source_name", "page_no")).withColumn("order", key).drop("source_rel", "source_path")
+    return matched(p, d, "document_id").withColumn("source", F.concat_ws("#", "source_name", "page_no")).withColumn("order", key).drop("source_rel", "source_path")
 
 
 def loaded_parts(rows: DataFrame, pages: DataFrame) -> DataFrame:
@@ -256,9 +262,10 @@ def pending_cells(blocks: DataFrame) -> DataFrame:
 def haul_blocks(haul: DataFrame, pages: DataFrame) -> DataFrame:
     """Log rows with their block: the slot, or for a day's pages without one their number in the pages' order. ``haul`` has
     reviewed_by."""
-    loose = haul.where("source_role = 'log' AND slot IS NULL").select("work_date", "page_id").distinct().join(pages.select("page_id", "source", "order"), "page_id", "left")
+    loose = haul.where("source_role = 'log' AND slot IS NULL").select("work_date", "page_id").distinct()
+    loose = matched(loose, pages.select("page_id", "source", "order"), "page_id", "left")
     nth = loose.withColumn("k", F.row_number().over(Window.partitionBy("work_date").orderBy(F.col("order").asc_nulls_last(), "page_id")))
-    j = haul.where("source_role = 'log'").join(nth.select("work_date", "page_id", "k", "source"), ["work_date", "page_id"], "left")
+    j = matched(haul.where("source_role = 'log'"), nth.select("work_date", "page_id", "k", "source"), ["work_date", "page_id"], "left")
     return j.withColumn("block", F.when(F.col("slot").isNull(), F.concat(F.lit("unresolved "), F.col("k").cast("string"))).otherwise(F.col("slot"))).withColumn("item", F.concat_ws("|", "material", "level"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import imaging
 from ledgerline.operators import continuity, evaluate, latest, reconcile, report, review, templates
+from ledgerline.plans import catalog
 from ledgerline.sources import synthetic, workbook
 
 
@@ -175,3 +176,19 @@ def test_equally_likely_values_go_by_value_then_kind(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert got == {cell: ("c", "v", f"c{cell}") for cell in range(60)} | {99: ("a", "w", "u")}
+
+
+@pytest.mark.parametrize("name", ["haul_month"])
+def test_the_driver_gathers_no_rows_of_growing_tables(spark, name):
+    """Compressed files look small: what is broadcast, before any size is known, may come from a table of records only
+    as days, slots or shifts that are counted together."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [min((i for i, c in enumerate(line) if c not in " :+-"), default=0) for line in plan]
+    joins = 0
+    for at, line in enumerate(plan):
+        joins += "SortMergeJoin" in line
+        if "BroadcastExchange" in line:
+            below = list(itertools.takewhile(lambda i: depth[i] > depth[at], range(at + 1, len(plan))))  # noqa: B023
+            scanned = "\n".join(plan[i] for i in below)
+            assert "FileScan" not in scanned or "HashAggregate" in scanned, scanned
+    assert joins > 2

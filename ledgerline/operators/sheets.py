@@ -51,7 +51,7 @@ def field_states(fields: DataFrame) -> DataFrame:
 def with_state(rows: DataFrame, field: str, states: DataFrame, name: str) -> DataFrame:
     """Adds the state of a row's field: value without a field, pending for a field that isn't there any more."""
     s = states.select(F.col("field_id").alias(field), F.col("state").alias("_s"))
-    return rows.join(s, field, "left").withColumn(name, F.when(F.col(field).isNull(), "value").otherwise(F.coalesce("_s", F.lit("pending")))).drop("_s")
+    return matched(rows, s, field, "left").withColumn(name, F.when(F.col(field).isNull(), "value").otherwise(F.coalesce("_s", F.lit("pending")))).drop("_s")
 
 
 def tail(state: Column, machine: Column, source: Column, field: Column) -> list[Column]:
@@ -219,7 +219,8 @@ def inspection_sheet(daily: DataFrame, equipment: DataFrame, pages: DataFrame, m
     states = field_states(fields)
     m = with_state(marks, "field_id", states, "s").withColumn("s", F.when(F.col("override") == "empty", "empty").otherwise(F.col("s")))
     m = m.groupBy("inspection_id").agg(C.worst(F.col("s")).alias("s_marks"))
-    j = daily.join(equipment.select("equipment_id", "hid"), "equipment_id", "left").join(pages.select("page_id", "source", "template_name"), "page_id", "left").join(m, "inspection_id", "left")
+    j = matched(daily.join(equipment.select("equipment_id", "hid"), "equipment_id", "left"), pages.select("page_id", "source", "template_name"), "page_id", "left")
+    j = matched(j, m, "inspection_id", "left")
     j = with_state(j, "source_field_id", states, "s_remark")
     unknown = F.when(F.col("review_status") == "pending", "pending").otherwise("value")
     j = j.withColumn("s_marks", F.coalesce("s_marks", unknown))

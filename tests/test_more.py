@@ -178,7 +178,7 @@ def test_equally_likely_values_go_by_value_then_kind(spark):
     assert got == {cell: ("c", "v", f"c{cell}") for cell in range(60)} | {99: ("a", "w", "u")}
 
 
-@pytest.mark.parametrize("name", ["haul_month"])
+@pytest.mark.parametrize("name", ["inspection_sheet", "haul_month"])
 def test_the_driver_gathers_no_rows_of_growing_tables(spark, name):
     """Compressed files look small: what is broadcast, before any size is known, may come from a table of records only
     as days, slots or shifts that are counted together."""

@@ -146,25 +146,28 @@ def _rows_of(first: np.ndarray, a: np.ndarray, b: np.ndarray, acc: np.ndarray, l
                 yield np.repeat(x, len(y)), np.tile(y, len(x)), np.full(len(x) * len(y), acc[i])
 
 
-def unit_links(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, more: np.ndarray, max_bits: int, lead_bits: int, total_bits: int) -> np.ndarray:
+def unit_links(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, more: np.ndarray, max_bits: int, lead_bits: int, total_bits: int, levels: dict[int, int] | None = None) -> np.ndarray:
     """Component label (a row number) of each row, for rows that belong to one or several units.
 
     unit, side: a unit joins its rows of side 0 with those of side 1, or if it has only one side, among themselves.
     bits: the rotated fingerprints, with ``more`` distinct in (unit, side). Two rows are linked if these differ by at most
     ``max_bits`` bits, by at most ``lead_bits`` in the first 16, and together with ``more`` by at most ``total_bits``.
+    ``levels`` gives other prefix lengths than LEVELS, from 0 to 64, each with the bits that may differ in it.
     """
+    levels = levels or {b: lead_bits if b <= 16 else max_bits for b in LEVELS}
+    lengths = list(levels)
     order = np.lexsort((*more.T, gray_rank(bits), side, unit))
     unit, side, bits, more = unit[order], side[order], bits[order], more[order]
     labels = _Labels(len(bits))
     starts, patterns = [], []  # by level: each node's first row, and its prefix
     new = np.concatenate([[True], (unit[1:] != unit[:-1]) | (side[1:] != side[:-1])])
-    for b in LEVELS:
+    for b in lengths:
         prefix = bits >> _U(64 - b) if b else np.zeros(len(bits), _U)
         new = new | np.concatenate([[True], prefix[1:] != prefix[:-1]])
         starts.append(np.flatnonzero(new))
         patterns.append(prefix[starts[-1]])
     # a node's children: from kids[level][node] to kids[level][node + 1]
-    kids = [np.searchsorted(starts[i + 1], np.append(starts[i], len(bits))) for i in range(len(LEVELS) - 1)]
+    kids = [np.searchsorted(starts[i + 1], np.append(starts[i], len(bits))) for i in range(len(lengths) - 1)]
 
     root_unit, root_side = unit[starts[0]], side[starts[0]]
     paired = np.flatnonzero(root_unit[1:] == root_unit[:-1])
@@ -173,7 +176,7 @@ def unit_links(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, more: np.nd
     stack = [(0, np.concatenate([single, paired]), np.concatenate([single, paired + 1]), np.zeros(len(single) + len(paired), np.int64))]
     while stack:
         level, a, b, acc = stack.pop()
-        if level == len(LEVELS) - 1:
+        if level == len(lengths) - 1:
             if not more.shape[1]:
                 labels.link(starts[level][a], starts[level][b])
                 continue
@@ -196,15 +199,15 @@ def unit_links(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, more: np.nd
         pair, x, y = _expand(na, nb)
         x, y = kids[level][a[pair]] + x, kids[level][b[pair]] + y
         own = a[pair] == b[pair]
-        if level + 1 == len(LEVELS) - 1 and not more.shape[1]:
+        if level + 1 == len(lengths) - 1 and not more.shape[1]:
             once = ~own | (x < y)
         else:
             once = ~own | (x <= y)
         pair, x, y = pair[once], x[once], y[once]
-        width = LEVELS[level + 1] - LEVELS[level]
+        width = lengths[level + 1] - lengths[level]
         low_bits = _U((1 << width) - 1)
         new_acc = acc[pair] + np.bitwise_count((patterns[level + 1][x] ^ patterns[level + 1][y]) & low_bits)
-        keep = new_acc <= (lead_bits if LEVELS[level + 1] <= 16 else max_bits)
+        keep = new_acc <= levels[lengths[level + 1]]
         if keep.any():
             stack.append((level + 1, x[keep], y[keep], new_acc[keep]))
     out = np.empty(len(bits), np.int64)
@@ -215,7 +218,7 @@ def unit_links(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, more: np.nd
 _UNIT = ["turn", "a", "ax", "b", "bx"]
 
 
-def _link_units(extra: list[str], max_bits: int, lead_bits: int, total_bits: int):
+def _link_units(extra: list[str], max_bits: int, lead_bits: int, total_bits: int, levels: dict[int, int] | None = None):
     """Rows come unit by unit; the last unit of a batch waits for the next batch."""
 
     def links(rows: pa.Table) -> pa.RecordBatch:
@@ -225,7 +228,7 @@ def _link_units(extra: list[str], max_bits: int, lead_bits: int, total_bits: int
             change[1:] |= c[1:] != c[:-1]
         rep = rows.column("rep").to_numpy()
         more = np.stack([rows.column(c).to_numpy().view(_U) for c in extra], 1) if extra else np.empty((len(rows), 0), _U)
-        label = unit_links(np.cumsum(change), rows.column("side").to_numpy(), rows.column("bits").to_numpy().view(_U), more, max_bits, lead_bits, total_bits)
+        label = unit_links(np.cumsum(change), rows.column("side").to_numpy(), rows.column("bits").to_numpy().view(_U), more, max_bits, lead_bits, total_bits, levels)
         least = np.full(len(rep), np.iinfo(np.int64).max)
         np.minimum.at(least, label, rep)
         least = least[label]
@@ -284,6 +287,13 @@ def near_links(nodes: DataFrame, max_bits: int, extra: list[str], total_bits: in
         turned = nodes.withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(4)]))).withColumn("bits", bits.otherwise(F.col("fp")))
         turned = turned.withColumn("own", F.shiftrightunsigned("bits", 64 - width)).drop("fp")
         masks = [sum(1 << i for i in c) for k in range(lead + 1) for c in combinations(range(width), k)]
+    # in a masked node all agree where the mask is, wherever that is, so no bits lead
+    return joined_nodes(turned, masks, extra, _link_units(extra, max_bits, lead or max_bits, total_bits))
+
+
+def joined_nodes(turned: DataFrame, masks: list[int], extra: list[str], link) -> DataFrame:
+    """u, v: what ``link`` finds in each unit, a pair of chunks of upper nodes whose patterns differ by one of ``masks``.
+    ``turned`` has turn, own (the pattern), bits, rep and ``extra`` of each fingerprint in a node."""
     # only nodes of several chunks are listed; a node that isn't has one, or no rows
     sizes = turned.groupBy("turn", "own").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_ROWS)).cast("int").alias("chunks")).where("chunks > 1")
     sizes, _ = materialise(sizes, "simhash-nodes")
@@ -297,8 +307,7 @@ def near_links(nodes: DataFrame, max_bits: int, extra: list[str], total_bits: in
     low, high = F.least("mine", "its"), F.greatest("mine", "its")
     units = other.select("turn", low["n"].alias("a"), low["x"].alias("ax"), high["n"].alias("b"), high["x"].alias("bx"), (F.col("mine") > F.col("its")).cast("int").alias("side"), "bits", "rep", *extra)
     placed = units.repartition(*_UNIT).sortWithinPartitions(*_UNIT)
-    # in a node all agree where the mask is, wherever that is, so no bits lead
-    return placed.mapInArrow(_link_units(extra, max_bits, lead or max_bits, total_bits), "u long, v long")
+    return placed.mapInArrow(link, "u long, v long")
 
 
 def _masked(nodes: DataFrame, max_bits: int, blocks: int) -> DataFrame:
